@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.llm import byte_bpe, token_shards
 from tidewell.llm.common import table
 from tidewell.llm.decontam import decontaminate
 from tidewell.llm.exact_dedup import exact_dedup
@@ -30,11 +32,29 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+def _file(name: str) -> bytes:
+    with open(public_tokenizers.path(name), "rb") as f:
+        return f.read()
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _file("byte_bpe_multi_50k.tiktoken")
+    out = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_shards.write_shards(table(spark, sf_dir, "documents"), _file("word_bpe_49k.json"), end_id=2)
+    return token_shards.read_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
         "op5_exact_dedup": op5_exact_dedup,
+        "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
+        "op10_token_shards": op10_token_shards,
     }
 
 
