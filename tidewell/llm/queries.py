@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, token_shards
-from tidewell.llm.common import table
+from tidewell.llm import byte_bpe, langid, line_crf, token_shards
+from tidewell.llm.common import held_out, may_learn, table
 from tidewell.llm.decontam import decontaminate
 from tidewell.llm.exact_dedup import exact_dedup
 from tidewell.llm.secrets import KINDS, scan_secrets, spans_text
@@ -20,11 +20,24 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = line_crf.learn(docs, table(spark, sf_dir, "labels"), may_learn(F.col("doc_id")))
+    out = line_crf.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_digest")).alias("text_sha256"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(docs, may_learn(F.col("doc_id")))
+    return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
@@ -51,7 +64,9 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_decontaminate": op2_decontaminate,
+        "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op7_language": op7_language,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
         "op10_token_shards": op10_token_shards,
