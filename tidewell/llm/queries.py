@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import byte_bpe, langid, line_crf, token_shards
+from tidewell.llm import backoff, byte_bpe, langid, line_crf, token_shards
 from tidewell.llm.common import held_out, may_learn, table
 from tidewell.llm.decontam import decontaminate
 from tidewell.llm.exact_dedup import exact_dedup
+from tidewell.llm.ngram_join import jaccard_components
 from tidewell.llm.secrets import KINDS, scan_secrets, spans_text
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return backoff.score(docs, backoff.learn(docs)).select("doc_id", "n_words", "score")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -32,6 +38,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("text_digest")).alias("text_sha256"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.learn(docs, may_learn(F.col("doc_id")))
@@ -63,9 +73,11 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_decontaminate": op2_decontaminate,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
+        "op6_jaccard": op6_jaccard,
         "op7_language": op7_language,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
@@ -75,6 +87,30 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_lm_score": r"""
+            WITH w AS (
+                SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+            ), t AS (
+                SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w
+            ), c AS (
+                SELECT word, count(*) AS n FROM t GROUP BY word
+            ), v AS (
+                SELECT word, CASE WHEN n * 1048576 >= (SELECT count(*) FROM t) THEN word ELSE ' unknown' END AS known, n FROM c
+            ), u AS (
+                SELECT known, sum(n) AS n FROM v GROUP BY known
+            ), k AS (
+                SELECT doc_id, pos, known AS w2, coalesce(lag(known) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS w1 FROM t JOIN v USING (word)
+            ), b AS (
+                SELECT w1, w2, count(*) AS n FROM k GROUP BY w1, w2
+            ), s AS (
+                SELECT b.w1, b.w2, CAST(round(ln(CASE WHEN b.n >= 2 THEN b.n / CAST(coalesce(u1.n, (SELECT count(*) FROM w WHERE len(ws) > 0)) AS DOUBLE)
+                       ELSE 0.4::DOUBLE * u2.n / (SELECT count(*) FROM t) END) * 1000000) AS BIGINT) AS micro
+                FROM b LEFT JOIN u u1 ON b.w1 = u1.known JOIN u u2 ON b.w2 = u2.known
+            ), d AS (
+                SELECT k.doc_id, count(*) AS n_words, CAST(sum(s.micro) AS BIGINT) AS micro FROM k JOIN s ON k.w1 = s.w1 AND k.w2 = s.w2 GROUP BY k.doc_id
+            )
+            SELECT w.doc_id, coalesce(d.n_words, 0) AS n_words, CAST(coalesce(d.micro, 0) AS DOUBLE) / 1000000 AS score FROM w LEFT JOIN d ON w.doc_id = d.doc_id
+        """,
         "op5_exact_dedup": r"""
             WITH n AS (
                 SELECT doc_id, length(coalesce(text, '')) AS len, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
