@@ -80,7 +80,7 @@ def _block_hits(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE, share: int = 20, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted array of ids as strings), contaminated.
+    """One row per document: doc_id, n_words, n_hit, items (sorted array of ids as strings), contaminated, key.
 
     A document is contaminated if it has a hit and the words in hits are at least one in ``share``.
     """
@@ -89,7 +89,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows = stage(item_windows(items, item_col, item_text_col, window), "decontam-windows")
     n = windows.count()
     if not n:
-        return thin.select(F.col("_id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"))
+        return thin.select(F.col("_id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"), F.col("_key").alias("key"))
 
     worded = rows.select("_id", "_key", words_of(F.col("_text")).alias("_w"))
     blocks = -(-n // block)
@@ -109,6 +109,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     on = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & (a["_key"] == b["_key"])
     found = covered.join(named, on(covered, named), "left").select(covered["_id"], covered["_key"], "n_hit", "items")
     out = thin.join(found, on(thin, found), "left").select(
-        thin["_id"].alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+        thin["_id"].alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), thin["_key"].alias("key")
     )
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that aren't contaminated."""
+    found = decontaminate(docs, items, id_col, text_col)
+    gone = found.filter("contaminated").select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key")).distinct()
+    own = docs.withColumn("_o_key", doc_key(F.col(id_col), F.col(text_col)))
+    return own.join(gone, F.col(id_col).eqNullSafe(F.col("_g_id")) & (F.col("_o_key") == F.col("_g_key")), "left_anti").drop("_o_key")

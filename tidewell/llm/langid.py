@@ -184,11 +184,12 @@ def _predictor(shared, text_col: str, keep: list[str]):
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float, text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, with their columns, whose text is in some language with at least the score ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inner = _predictor(shared, text_col, list(docs.columns))
+    columns = list(docs.columns)
+    inner = _predictor(shared, text_col, columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in inner(batches):
             known = pc.and_(pc.not_equal(out["lang_pred"], "und"), pc.greater_equal(out["score"], least))
-            yield out.select(docs.columns).filter(known)
+            yield out.select(columns).filter(known)
 
     return docs.mapInArrow(work, docs.schema)

@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import doc_key
 from tidewell.llm.components import connected_components
 from tidewell.llm.words import hashed_words, parts
 from tidewell.plans.staging import stage
@@ -111,8 +112,8 @@ def _sketch(size: int):
                 keys = iter(band_keys(full) if full else ())
                 marks = [digest(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                    ["doc_id", "hi", "lo", "n", "keys"],
+                    [part["doc_id"], part["key"], pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    ["doc_id", "key", "hi", "lo", "n", "keys"],
                 )
 
     return work
@@ -217,9 +218,12 @@ def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), set_hi, set_lo."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), key.
+
+    ``key`` tells rows that repeat an id but not the text apart.
+    """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sketches = stage(rows.mapInArrow(_sketch(size), "doc_id long, hi long, lo long, n int, keys array<long>"), "join-sketches")
+    sketches = stage(rows.withColumn("key", doc_key(F.col("doc_id"), F.col("_text"))).mapInArrow(_sketch(size), "doc_id long, key long, hi long, lo long, n int, keys array<long>"), "join-sketches")
     classes = sketches.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     nodes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
 
@@ -241,5 +245,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = stage(least.groupBy("root").agg(F.min("least").alias("component_id")), "join-named")
     known = stage(least.select("node", "root").join(named, "root").select("node", "component_id"), "join-known")
     found = stage(nodes.select("node", "hi", "lo", "least").join(known, "node", "left").select("hi", "lo", F.coalesce("component_id", "least").alias("component_id")), "join-classes")
-    out = sketches.select("doc_id", "hi", "lo", F.col("n").cast("long").alias("n_shingles")).join(found, ["hi", "lo"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("hi").alias("set_hi"), F.col("lo").alias("set_lo"))
+    out = sketches.select("doc_id", "key", "hi", "lo", F.col("n").cast("long").alias("n_shingles")).join(found, ["hi", "lo"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, whose id names their component: one of each.
+
+    Rows without an id in a component that has no id can't be told apart, and stay.
+    """
+    found = jaccard_components(docs, id_col, text_col)
+    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key")).distinct()
+    own = docs.withColumn("_o_key", doc_key(F.col(id_col).cast("bigint"), F.col(text_col)))
+    left = own.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_g_id")) & (F.col("_o_key") == F.col("_g_key")), "left_anti")
+    repeats = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_r")).count().filter("count > 1")
+    if not repeats.isEmpty():  # linked rows with one id are one document
+        known = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+        left = known.unionByName(left.filter(F.col(id_col).isNull()))
+    return left.drop("_o_key")

@@ -13,6 +13,7 @@ from tidewell.llm.common import held_out, may_learn, table
 from tidewell.llm.decontam import decontaminate
 from tidewell.llm.exact_dedup import exact_dedup
 from tidewell.llm.ngram_join import jaccard_components
+from tidewell.llm.quotes import reply_order
 from tidewell.llm.secrets import KINDS, scan_secrets, spans_text
 
 
@@ -26,6 +27,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = reply_order(table(spark, sf_dir, "conversations"))
+    place = F.transform("order_key.path", lambda p: F.concat_ws("/", -p["back"], p["start"]))
+    return out.select("conv_id", "turn", "role", "text", "reply_to", "n_quoted", "n_linked", F.array_join(place, ",").alias("thread_path"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = line_crf.learn(docs, table(spark, sf_dir, "labels"), may_learn(F.col("doc_id")))
@@ -71,10 +78,17 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read_shards(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lm_score": op1_lm_score,
         "op2_decontaminate": op2_decontaminate,
+        "op3_chat_format": op3_chat_format,
         "op4_quality": op4_quality,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_jaccard": op6_jaccard,
@@ -82,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_secrets": op9_secrets,
         "op10_token_shards": op10_token_shards,
+        "pipeline": pipeline,
     }
 
 
