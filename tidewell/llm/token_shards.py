@@ -49,7 +49,9 @@ from tidewell.plans.staging import stage
 BLOCK = 1 << 16
 #: Ids that fill a shard; a document that goes beyond stays whole.
 SHARD_IDS = 4_000_000
-CACHE = 300_000
+CACHE = 700_000
+#: Marks that are one unit together wherever they follow a word.
+_MARKS = ".,;:!?#*$%&"
 _HEAD = struct.Struct("<4sHHIIQI")
 
 
@@ -119,37 +121,75 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_str(model.decode())
+        # Lower-case letters of the Latin blocks are their own normal form and one unit of the
+        # split, so for words of them alone normalising and splitting can be left out.
+        self.plain = Tokenizer.from_str(model.decode())
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.met = np.zeros(0, np.int32)
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word; a plain word with marks after it is two units, which are encoded once each."""
+        out: list[list[int] | None] = [None] * len(words)
+        stems: dict[str, list[int]] = {}
+        split = []
+        for k, word in enumerate(words):
+            stem = word.rstrip(_MARKS)
+            if stem.isalpha() and max(stem) < "\u0250" and stem == stem.lower():
+                stems[stem] = []
+                split.append((k, stem, word[len(stem) :]))
+        for stem, found in zip(stems, self.plain.encode_batch_fast(list(stems), add_special_tokens=False), strict=True):
+            stems[stem] = found.ids
+        tails = {tail: self.model.encode(tail, add_special_tokens=False).ids for tail in {t for _, _, t in split}}
+        for k, stem, tail in split:
+            out[k] = stems[stem] + tails[tail] if tail else stems[stem]
+        rest = [k for k, found in enumerate(out) if found is None]
+        for k, found in zip(rest, self.model.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = found.ids
+        return out  # type: ignore[return-value]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.place) + len(words) > CACHE:
+        if len(self.place) > CACHE:  # words met once go, with what is known of them
+            again = np.flatnonzero(self.met > 1)
+            names = list(self.place)
+            kept = [names[k] for k in again.tolist()] if len(again) < CACHE // 2 else []
+            ids = [self.flat[self.ends[k] : self.ends[k + 1]] for k in again.tolist()] if kept else []
             self.clear()
+            self._add(kept, ids)
         new = [w for w in words if w not in self.place]
-        got = [e.ids for e in self.model.encode_batch_fast(new, add_special_tokens=False)]
+        self._add(new, self._encode_words(new))
+
+    def _add(self, new: list[str], got: list) -> None:
+        if not new:
+            return
         ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
-        if len(new) and ends[-1] > len(self.flat):
+        if ends[-1] > len(self.flat):
             self.flat = np.resize(self.flat, int(ends[-1] * 1.5))
-        if len(new):
-            self.flat[self.ends[-1] : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32)
+        self.flat[self.ends[-1] : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32)
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.ends = np.concatenate([self.ends, ends])
+        self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(token counts, ids) of the texts, each with the end id after it."""
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the model folds case, but not that of special tokens
+            texts = pc.ascii_lower(texts)
         runs = pc.ascii_split_whitespace(texts)
         per_text = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(runs.flatten())
         words = coded.dictionary.to_pylist()
         self._learn(words)
         place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.met[place] += 1
         starts, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
         code = coded.indices.to_numpy(zero_copy_only=False)
         # One more, made-up word at each text's end stands for the end id.
