@@ -20,9 +20,10 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     labels = stage(links.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")), f"{tag}-labels")
     while True:
         near = links.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        lower = stage(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low")), f"{tag}-lower")
+        lower = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        after = stage(lower.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), (F.least("low", F.coalesce("far", "low")) != F.col("root")).alias("moved")), f"{tag}-labels")
+        least = F.least("low", F.coalesce("far", "low"))
+        after = stage(lower.join(jump, "low", "left").select("node", least.alias("root"), (least != F.col("root")).alias("moved")), f"{tag}-labels")
         labels = after.select("node", "root")
         if after.filter("moved").isEmpty():
             return labels

@@ -46,6 +46,8 @@ SIZE, PERCENT = 4, 85
 ROWS, BANDS = 5, 44
 #: Shingles that a tile holds; a pair of tiles has twice as many.
 TILE = 2_000_000
+#: Bytes of a tile's bitmaps.
+MAPS = 32_000_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
 _rng = np.random.default_rng(20240131)
 _XOR = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
@@ -137,6 +139,8 @@ def link_tile(nodes: list[int], sets: list[np.ndarray], sides: list[int], percen
     nodes, sets, sides = [nodes[k] for k in order], [sets[k] for k in order], np.array([sides[k] for k in order])
     lengths = np.array([len(s) for s in sets])
     bits = min(1 << 16, max(256, 1 << int(2 * lengths.max()).bit_length()))
+    while bits > 256 and len(sets) * bits > MAPS * 8:  # a bound from fewer bits is looser, never wrong
+        bits >>= 1
     maps = np.zeros((len(sets), bits // 64), np.uint64)
     for k, s in enumerate(sets):
         at = (s & np.uint64(bits - 1)).astype(np.int64)
@@ -229,7 +233,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     banded = nodes.select("node", F.explode("keys").alias("key"))
     hubs = stage(banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("key", "hub"), "join-hubs")
-    near = banded.join(hubs, "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    near = banded.join(hubs, "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     hoods = connected_components(near, "join-hoods")
 
     members = nodes.select("node", "hi", "lo", "least", "n").join(hoods.select("node", F.col("root").alias("comp")), "node")
