@@ -36,6 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,7 +229,7 @@ def score(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array([now] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["tile", "base", "data"])
 
         for batch in batches:  # sorted by tile
-            if (through := batch.filter(pa.compute.equal(batch["tile"], -1))).num_rows:
+            if (through := batch.filter(pc.equal(batch["tile"], -1))).num_rows:
                 yield through
             for tile, base, data in zip(batch["tile"].to_pylist(), batch["base"].to_pylist(), batch["data"], strict=True):
                 if tile < 0:
