@@ -51,6 +51,8 @@ def test_bpe_frames(odd, odd_rows, none, bpe):
     out = byte_bpe.decode(byte_bpe.encode(odd, ranks, public_tokenizers.PATTERN), ranks).collect()
     want = [(i, bpe[1].encode_ordinary(t or ""), (t or "").encode()) for i, t in odd_rows]
     assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in out), key=str) == sorted(want, key=str)
+    once = byte_bpe.round_trip(odd, ranks, public_tokenizers.PATTERN).collect()
+    assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in once), key=str) == sorted(want, key=str)
     assert byte_bpe.encode(none, ranks, public_tokenizers.PATTERN).count() == 0
 
 

@@ -26,6 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,21 +206,34 @@ def _runs(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
         yield a, n
 
 
-def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): each whole text's token ids.  ``ranks`` are the bytes of a rank file, under 2 MB."""
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBPE, both: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in _runs(pc.utf8_length(batch["_text"]).to_pylist(), 2_000_000):
+            got = bpe.encode_texts(batch["_text"].slice(a, b - a).to_pylist())
+            offsets = np.cumsum([0, *map(len, got)])
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.fromiter(chain.from_iterable(got), np.int32, offsets[-1])))
+            more = [pa.array([bpe.decode(x) for x in got], pa.binary())] if both else []
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), ids, *more], ["doc_id", "ids", "decoded"][: 2 + both])
+
+
+def _encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str, text_col: str, both: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = codec(shared.value, pattern)
-        for batch in batches:
-            for a, b in _runs(pa.compute.utf8_length(batch["_text"]).to_pylist(), 2_000_000):
-                got = bpe.encode_texts(batch["_text"].slice(a, b - a).to_pylist())
-                offsets = np.cumsum([0, *map(len, got)])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.fromiter(chain.from_iterable(got), np.int32, offsets[-1])))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), ids], ["doc_id", "ids"])
+        yield from _encoded(batches, codec(shared.value, pattern), both)
+
+    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>{', decoded binary' if both else ''}")
+
+
+def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids): each whole text's token ids.  ``ranks`` are the bytes of a rank file, under 2 MB."""
+    return _encode(docs, ranks, pattern, id_col, text_col, False)
+
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, ids, decoded): ``encode``, and the bytes that the ids decode to, in one pass and one Python worker a task."""
+    return _encode(docs, ranks, pattern, id_col, text_col, True)
 
 
 def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
@@ -230,9 +244,9 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
         bpe = codec(shared.value, "")
         for batch in batches:
             ids = batch["ids"]
-            for a, b in _runs(pa.compute.list_value_length(ids).to_pylist(), 1_000_000):
+            for a, b in _runs(pc.list_value_length(ids).to_pylist(), 1_000_000):
                 part = ids.slice(a, b - a)
-                flat, ends = part.flatten().to_pylist(), np.cumsum(pa.compute.list_value_length(part).to_numpy()).tolist()
+                flat, ends = part.flatten().to_pylist(), np.cumsum(pc.list_value_length(part).to_numpy()).tolist()
                 texts = pa.array([bpe.decode(flat[x:y]) for x, y in zip([0, *ends], ends, strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), part, texts], ["doc_id", "ids", "decoded"])
 
