@@ -321,6 +321,14 @@ def test_backoff_unknown_words(spark):
     assert backoff.score(df, model).count() == 5
 
 
+def test_backoff_counts_rare_words_of_large_corpora(spark):
+    rows = [(i, "a b c d " * 1200) for i in range(250)] + [(1000, "rare words once"), (1001, "gibberish a b twice"), (1002, "twice a twice")]
+    got = backoff.score(df := spark.createDataFrame(rows, "doc_id long, text string"), backoff.learn(df)).collect()
+    want = plain_scores(rows)
+    assert sum(n for _, n, _ in want) > 1 << 20  # where a vocabulary of 2^20 would pool them
+    assert sorted((r.doc_id, r.n_words, round(r.score, 6)) for r in got) == sorted((i, n, round(s, 6)) for i, n, s in want)
+
+
 def test_pack_round_trip():
     rng = np.random.default_rng(1)
     columns = [np.sort(rng.integers(0, 2**63, 100, dtype=np.uint64)), rng.integers(-5, 9, 100), rng.integers(0, 2**40, 100)]

@@ -6,24 +6,22 @@ For words ``v w`` in a row, with counts over all documents,
              = ALPHA * count(w) / tokens       otherwise
 
 and a document's score is the sum of ``ln S`` over its words.  ``v`` of a document's
-first word is a start mark, whose count is the number of documents with words.  The
-vocabulary is the words that make up one token in ``VOCABULARY`` at least, so it has
-``VOCABULARY`` words at most whatever the size of the corpus; the rest count as one
-unknown word.  Logarithms are taken to ``UNIT`` and summed as integers, so that a
-score doesn't depend on the order of addition.
+first word is a start mark, whose count is the number of documents with words.  Every
+word and every bigram is counted, whatever the size of the corpus, under a 64-bit hash;
+nothing is collected or broadcast.  Logarithms are taken to ``UNIT`` and summed as
+integers, so that a score doesn't depend on the order of addition.
 
-Relationally, with word numbers packed in place of strings:
+Relationally, with packed and compressed columns in place of rows of words:
 
-1. unigram counts: combined in each batch, summed over the corpus by hash;
-2. exploded bigrams (batch, document, bigram, times) go to hash tiles, as packed and
-   compressed columns, with about ``TILE`` tokens to a tile;
-3. in a tile, the count table is the grouped sum of its bigrams; it is joined to
-   the bigrams, and the logarithms are summed for each document;
-4. a batch's tiles' sums meet and are added.
+1. a batch of documents becomes its distinct words' hashes and a code for each token,
+   staged, so that texts are read once and a batch keeps its number;
+2. each batch deals its distinct words and bigrams, with how often it has them, to
+   tiles by ranges of the hash, with about ``TILE`` of them to a tile;
+3. a tile sums them over the batches, and gives each batch the totals of those it sent;
+4. a batch's totals meet its tokens, and the logarithms are summed for each document.
 
-Bigrams that make up one token in ``HOT`` or so would swell a tile by a row for each
-document.  Step 1 finds candidates for them in each batch, at most ``HOT`` in all,
-a pass counts them exactly, and step 2 scores them where they stand.
+A batch sends a word or a bigram once however many documents have it, so very frequent
+ones swell no tile.
 
 Defined results: a null text, or one without words, has no words and the score 0;
 repeated rows count and are scored each; other columns are not looked at.
@@ -31,12 +29,12 @@ repeated rows count and are scored each; other columns are not looked at.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,45 +42,59 @@ from tidewell.llm.words import hashed_words, parts
 from tidewell.plans.staging import stage
 
 ALPHA, MIN_COUNT, UNIT = 0.4, 2, 1_000_000
-VOCABULARY = 1 << 20
-TILE, HOT = 2_000_000, 20_000
+TILE = 2_000_000
 #: Characters and documents of a batch.
 CHARS, DOCS = 8_000_000, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BITS = np.uint64(21)
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_LOW = np.uint64(32)
+#: Stand for the start mark and, where a vocabulary is given, for the words outside it.
+_START, _UNKNOWN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 @dataclass
 class Unigrams:
-    """Sorted hashes of the vocabulary; counts by number, then of the unknown word and the start mark."""
+    """A vocabulary's sorted hashes and its counts, then those of the unknown word and the start mark; no hashes: every word is known."""
 
-    hashes: np.ndarray
+    hashes: np.ndarray | None
     counts: np.ndarray
-    tokens: int
-    hot: np.ndarray  # sorted bigrams
-    hot_counts: np.ndarray
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        unknown = len(self.hashes)
-        if not unknown:
-            return np.zeros(len(hashes), np.uint64)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), unknown - 1)
-        return np.where(self.hashes[at] == hashes, at, unknown).astype(np.uint64)
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        if self.hashes is None:
+            return hashes
+        return np.where(np.isin(hashes, self.hashes), hashes, _UNKNOWN)
 
-    def log_scores(self, bigrams: np.ndarray, counts: np.ndarray, min_count: int, alpha: float) -> np.ndarray:
-        """ln S of each bigram in units of 1 / UNIT."""
-        first, second = (bigrams >> _BITS).astype(np.int64), (bigrams & ((np.uint64(1) << _BITS) - np.uint64(1))).astype(np.int64)
-        seen = np.log(counts / self.counts[first])
-        unseen = np.log(alpha * self.counts[second] / self.tokens)
-        return np.rint(np.where(counts >= min_count, seen, unseen) * UNIT).astype(np.int64)
 
-
-def bigrams_of(numbers: np.ndarray, per_text: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bigram, document) of every word."""
-    ends = np.cumsum(per_text)
-    before = np.roll(numbers, 1)
-    before[(ends - per_text)[per_text > 0]] = start
-    return (before << _BITS) | numbers, np.repeat(np.arange(len(per_text), dtype=np.uint64), per_text)
+@dataclass
+class Batch:
+    """Distinct words and bigrams of a batch: ``keys`` of both, words first, how often each occurs, and their order by key."""
+
+    words: int
+    first: np.ndarray  # codes of each bigram's words; ``words`` is the start mark
+    second: np.ndarray
+    of_token: np.ndarray  # number of each token's bigram
+    keys: np.ndarray
+    times: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, words: np.ndarray, code: np.ndarray, per_text: np.ndarray) -> Batch:
+        ends = np.cumsum(per_text)
+        before = np.roll(code, 1).astype(np.uint64)
+        before[(ends - per_text)[per_text > 0]] = len(words)
+        pairs, of_token, times = np.unique((before << _LOW) | code.astype(np.uint64), return_inverse=True, return_counts=True)
+        first, second = (pairs >> _LOW).astype(np.int64), (pairs & np.uint64((1 << 32) - 1)).astype(np.int64)
+        x = np.append(words, _START)[first] * _ODD + words[second]
+        x = (x ^ (x >> np.uint64(31))) * _MIX
+        keys = np.concatenate([words, x ^ (x >> np.uint64(29))])
+        return cls(len(words), first, second, of_token, keys, np.concatenate([np.bincount(code, minlength=len(words)), times]), np.argsort(keys, kind="stable"))
+
+    def log_scores(self, totals: np.ndarray, starts: int, tokens: int, min_count: int, alpha: float) -> np.ndarray:
+        """ln S of each bigram in units of 1 / UNIT, from the corpus's counts of ``keys``."""
+        ones, twos = totals[: self.words], totals[self.words :]
+        seen = np.log(twos / np.append(ones, starts)[self.first])
+        unseen = np.log(alpha * ones[self.second] / tokens)
+        return np.rint(np.where(twos >= min_count, seen, unseen) * UNIT).astype(np.int64)
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -104,6 +116,17 @@ def unpack(data: bytes, width: int) -> list[np.ndarray]:
     return [np.cumsum(columns[0], dtype=np.uint64), *(c.view(np.int64) for c in columns[1:])]
 
 
+def _hold(ids: np.ndarray, null: np.ndarray, per_text: np.ndarray, words: np.ndarray, code: np.ndarray) -> bytes:
+    rows, tokens = pack([np.arange(len(ids)), ids, null, per_text]), pack([np.arange(len(code)), code])
+    return struct.pack("<QQ", len(rows), len(tokens)) + rows + tokens + pack([words])
+
+
+def _held(data: bytes) -> tuple[np.ndarray, ...]:
+    a, b = struct.unpack_from("<QQ", data)
+    _, ids, null, per_text = unpack(data[16 : 16 + a], 4)
+    return ids, null, per_text, unpack(data[16 + a + b :], 1)[0], unpack(data[16 + a : 16 + a + b], 2)[1]
+
+
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in parts(batch, "_text", CHARS):
@@ -112,166 +135,121 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of each batch (kind 0), its documents with words (1), frequent bigrams of hashes (2)."""
+    """Word counts of each batch (kind 0) and its documents with words (1)."""
     for part in _batches(batches):
         hashes, per_text = hashed_words(part["_text"])
-        words, code, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        pairs = bigrams_of(code.astype(np.uint64), per_text, len(words))[0] if len(code) else np.empty(0, np.uint64)
-        pairs, times = np.unique(pairs, return_counts=True)
-        often = times >= max(2, len(hashes) // HOT)
-        pairs, times = pairs[often], times[often]
-        known = np.append(words, np.uint64(0))
-        first, second = known[(pairs >> _BITS).astype(np.int64)], known[(pairs & np.uint64((1 << 21) - 1)).astype(np.int64)]
-        kind = np.repeat([0, 1, 2], [len(words), 1, len(pairs)]).astype(np.int32)
-        one, none = np.zeros(1, np.uint64), np.zeros(len(words) + 1, np.uint64)
+        words, counts = np.unique(hashes, return_counts=True)
+        kind = np.repeat([0, 1], [len(words), 1]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kind), pa.array(np.concatenate([words, one, first]).view(np.int64)), pa.array(np.concatenate([none, second]).view(np.int64)), pa.array(np.concatenate([counts, [int((per_text > 0).sum())], times]).astype(np.int64))],
-            ["kind", "a", "b", "n"],
+            [pa.array(kind), pa.array(np.append(words, np.uint64(0)).view(np.int64)), pa.array(np.append(counts, int((per_text > 0).sum())).astype(np.int64))],
+            ["kind", "a", "n"],
         )
 
 
-def learn(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, hot: int = HOT) -> Unigrams:
-    """Unigram counts of the whole table, and exact counts of its very frequent bigrams."""
-    spark = docs.sparkSession
+def learn(docs: DataFrame, text_col: str = "text", vocabulary: int | None = None, hot: int | None = None) -> Unigrams:
+    """The words that a model tells apart: all of them, or those that make up one token in ``vocabulary`` at least.
+
+    Only a given ``vocabulary`` is collected.  ``hot`` has no effect: frequent bigrams need no pass of their own.
+    """
+    if vocabulary is None:
+        return Unigrams(None, np.empty(0, np.int64))
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    counted = rows.mapInArrow(_count_words, "kind int, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
-    counted = stage(counted, "backoff-words")
+    counted = stage(rows.mapInArrow(_count_words, "kind int, a long, n long").groupBy("kind", "a").agg(F.sum("n").alias("n")), "backoff-words")
     sums = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     tokens, starts = sums.get(0, 0), sums.get(1, 0)
     words = counted.filter((F.col("kind") == 0) & (F.col("n") * vocabulary >= tokens)).select("a", "n").toArrow()  # at most ``vocabulary``
     hashes, counts = words["a"].to_numpy().view(np.uint64), words["n"].to_numpy()
     order = np.argsort(hashes)
-    hashes, counts = hashes[order], counts[order]
-    none = np.empty(0, np.uint64)
-    model = Unigrams(hashes, np.concatenate([counts, [tokens - counts.sum(), starts]]).astype(np.int64), tokens, none, none.astype(np.int64))
-
-    often = counted.filter((F.col("kind") == 2) & (F.col("n") * hot >= tokens)).select("a", "b").toArrow()  # at most ``hot``
-    if not len(often) or not tokens:
-        return model
-    first, second = (model.number(often[c].to_numpy().view(np.uint64)) for c in "ab")
-    # The start mark has no hash; bigrams that begin with it came with hash 0, which no word is likely to have.
-    first = np.where(often["a"].to_numpy() == 0, np.uint64(len(hashes) + 1), first)
-    model.hot = np.unique((first << _BITS) | second)
-    shared = spark.sparkContext.broadcast(model)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for part in _batches(batches):
-            hashes, per_text = hashed_words(part["_text"])
-            pairs = bigrams_of(model.number(hashes), per_text, len(model.hashes) + 1)[0] if len(hashes) else np.empty(0, np.uint64)
-            at = np.minimum(np.searchsorted(model.hot, pairs), len(model.hot) - 1)
-            times = np.bincount(at[model.hot[at] == pairs], minlength=len(model.hot))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(times))), pa.array(times.astype(np.int64))], ["at", "n"])
-
-    exact = rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    model.hot_counts = np.zeros(len(model.hot), np.int64)
-    model.hot_counts[exact["at"].to_numpy()] = exact["n"].to_numpy()
-    return model
+    return Unigrams(hashes[order], np.concatenate([counts[order], [tokens - counts.sum(), starts]]).astype(np.int64))
 
 
 def score(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_count: int = MIN_COUNT, tile: int = TILE) -> DataFrame:
     """One row per row: doc_id, n_words, score (sum of ln S)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    tiles = max(1, -(-model.tokens // tile))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packed bigrams for each tile; under tile -1 the documents with what hot bigrams add to them."""
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each batch of documents as words and codes, with its sums."""
         from pyspark import TaskContext
 
-        model, number = shared.value, 0
         base = TaskContext.get().partitionId() << 32
-        for part in _batches(batches):
+        for number, part in enumerate(_batches(batches)):
             hashes, per_text = hashed_words(part["_text"])
-            sums = np.zeros(len(part), np.int64)
-            out = []
-            if len(hashes):
-                pairs, doc = bigrams_of(model.number(hashes), per_text, len(model.hashes) + 1)
-                (pairs, doc), times = _group(pairs, doc)
-                if len(model.hot):
-                    at = np.minimum(np.searchsorted(model.hot, pairs), len(model.hot) - 1)
-                    is_hot = model.hot[at] == pairs
-                    logs = model.log_scores(pairs[is_hot], model.hot_counts[at[is_hot]], min_count, alpha)
-                    np.add.at(sums, doc[is_hot], logs * times[is_hot])
-                    pairs, doc, times = pairs[~is_hot], doc[~is_hot], times[~is_hot]
-                to = ((pairs * _ODD) >> np.uint64(24)) % np.uint64(tiles)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(tiles + 1, dtype=np.uint64))
-                for t, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if a < b:
-                        which = order[a:b]
-                        out.append((t, pack([pairs[which], doc[which], times[which]])))
-            ids = part["doc_id"].to_numpy(zero_copy_only=False) if not part["doc_id"].null_count else part["doc_id"].fill_null(0).to_numpy()
-            null = np.asarray(part["doc_id"].is_null())
-            out.append((-1, pack([np.arange(len(part)), ids, null, per_text, sums])))
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.int64()), pa.array([base + number] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], ["tile", "base", "data"])
-            number += 1
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each tile and batch the sums of its documents; what stands under tile -1 goes through."""
-        model, now, held = shared.value, None, []
-
-        def sums() -> Iterator[pa.RecordBatch]:
-            columns = [unpack(x, 3) for _, x in held]
-            sizes = [len(c[0]) for c in columns]
-            pairs, doc, times = (np.concatenate([c[k] for c in columns]) for k in range(3))
-            kinds, code = np.unique(pairs, return_inverse=True)
-            counts = np.bincount(code, times, len(kinds)).astype(np.int64)
-            logs = model.log_scores(kinds, counts, min_count, alpha)[code] * times
-            a, out = 0, []
-            for (base, _), size in zip(held, sizes, strict=True):
-                own = doc[a : a + size]
-                total = np.zeros(int(own.max()) + 1, np.int64)
-                np.add.at(total, own, logs[a : a + size])
-                some = np.unique(own)
-                out.append((base, pack([some, total[some]])))
-                a += size
-            yield pa.RecordBatch.from_arrays([pa.array([now] * len(out), pa.int64()), pa.array([b for b, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["tile", "base", "data"])
+            words, codes = np.unique(shared.value.known(hashes), return_inverse=True)
+            ids = part["doc_id"].fill_null(0).to_numpy()
+            data = _hold(ids, np.asarray(part["doc_id"].is_null()), per_text, words, codes)
+            sums = [base + number, len(codes), int((per_text > 0).sum()), len(words)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in sums), pa.array([data], pa.binary())], ["base", "tokens", "starts", "words", "data"])
+
+    coded = stage(rows.mapInArrow(code, "base long, tokens long, starts long, words long, data binary"), "backoff-coded")
+    tokens, starts, words = (x or 0 for x in coded.agg(F.sum("tokens"), F.sum("starts"), F.sum("words")).first())
+    tiles = max(1, -(-(tokens + words) // tile))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packed keys and counts for each tile, which is a range of keys."""
+        for batch in batches:
+            for base, data in zip(batch["base"].to_pylist(), batch["data"], strict=True):
+                _, _, per_text, hashes, codes = _held(data.as_py())
+                if not len(codes):
+                    continue
+                own = Batch.of(hashes, codes, per_text)
+                keys, times = own.keys[own.order], own.times[own.order]
+                to, starts_at = np.unique(((keys >> _LOW) * np.uint64(tiles)) >> _LOW, return_index=True)
+                cuts = np.append(starts_at, len(keys))
+                out = [pack([keys[a:b], times[a:b]]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int64)), pa.array([base] * len(out), pa.int64()), pa.array(out, pa.binary())], ["tile", "base", "data"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each tile and batch the totals of the keys that it sent, in their order."""
+        now, held = None, []
+
+        def sums() -> pa.RecordBatch:
+            columns = [unpack(x, 2) for _, x in held]
+            ends = np.cumsum([len(c[0]) for c in columns])
+            keys, times = (np.concatenate([c[k] for c in columns]) for k in range(2))
+            kinds, at = np.unique(keys, return_inverse=True)
+            totals = np.bincount(at, times, len(kinds)).astype(np.int64)[at]
+            out = [pack([np.arange(len(x)), x]) for x in np.split(totals, ends[:-1])]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(out), pa.int64()), pa.array([b for b, _ in held], pa.int64()), pa.array(out, pa.binary())], ["tile", "base", "data"])
 
         for batch in batches:  # sorted by tile
-            if (through := batch.filter(pc.equal(batch["tile"], -1))).num_rows:
-                yield through
-            for tile, base, data in zip(batch["tile"].to_pylist(), batch["base"].to_pylist(), batch["data"], strict=True):
-                if tile < 0:
-                    continue
-                if tile != now and held:
-                    yield from sums()
+            for to, base, data in zip(batch["tile"].to_pylist(), batch["base"].to_pylist(), batch["data"], strict=True):
+                if to != now and held:
+                    yield sums()
                     held = []
-                now = tile
+                now = to
                 held.append((base, data.as_py()))
         if held:
-            yield from sums()
+            yield sums()
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a batch of documents from its sums; the documents come first, as tile -1."""
-        now, docs, total = None, [], np.empty(0)
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a batch of documents from its totals; the documents come first, as tile -1."""
+        now, docs, totals = None, b"", []
 
         def done() -> pa.RecordBatch:
-            _, ids, null, words, _ = docs
-            return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(words), pa.array(total / UNIT)], ["doc_id", "n_words", "score"])
+            ids, null, per_text, hashes, codes = _held(docs)
+            summed = np.zeros(len(codes) + 1, np.int64)
+            if len(codes):
+                own = Batch.of(hashes, codes, per_text)
+                total = np.empty(len(own.keys), np.int64)
+                total[own.order] = np.concatenate([unpack(x, 2)[1] for x in totals])
+                np.cumsum(own.log_scores(total, starts, tokens, min_count, alpha)[own.of_token], out=summed[1:])
+            ends = np.cumsum(per_text)
+            return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(per_text), pa.array((summed[ends] - summed[ends - per_text]) / UNIT)], ["doc_id", "n_words", "score"])
 
         for batch in batches:  # sorted by base, then tile
             for base, data in zip(batch["base"].to_pylist(), batch["data"], strict=True):
                 if base != now:
                     if now is not None:
                         yield done()
-                    now, docs = base, unpack(data.as_py(), 5)
-                    total = docs[4].copy()
+                    now, docs, totals = base, data.as_py(), []
                 else:
-                    which, sums = unpack(data.as_py(), 2)
-                    np.add.at(total, which.astype(np.int64), sums)
+                    totals.append(data.as_py())
         if now is not None:
             yield done()
 
     kind = "tile long, base long, data binary"
-    exploded = rows.mapInArrow(explode, kind)
-    # What goes through needn't wait in one task: it is dealt by its batch.
-    spread = exploded.withColumn("_to", F.when(F.col("tile") < 0, F.col("base")).otherwise(F.col("tile")))
-    summed = spread.repartition("_to").sortWithinPartitions("tile").select("tile", "base", "data").mapInArrow(join, kind)
-    return summed.repartition("base").sortWithinPartitions("base", "tile").mapInArrow(add, "doc_id long, n_words long, score double")
-
-
-def _group(pairs: np.ndarray, doc: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct (bigram, document), ordered by bigram, and how often each occurs; bigrams have 42 bits, documents 16."""
-    both, times = np.unique((pairs << np.uint64(16)) | doc, return_counts=True)
-    return (both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.int64)), times
+    dealt = coded.select("base", "data").mapInArrow(deal, kind)
+    summed = dealt.repartition("tile").sortWithinPartitions("tile", "base").mapInArrow(add, kind)
+    whole = coded.select(F.lit(-1).cast("long").alias("tile"), "base", "data").unionByName(summed)
+    return whole.repartition("base").sortWithinPartitions("base", "tile").mapInArrow(rate, "doc_id long, n_words long, score double")
