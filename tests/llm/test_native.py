@@ -131,3 +131,19 @@ def test_entropy_spans_and_allow_list(spark):
     assert got[1] == [(6, "entropy", 6 + len(key))]
     assert [s[1] for s in got[4]] == ["assign"]
     assert not any(got[k] for k in (2, 3, 5, 6, 7))
+
+
+def test_entropy_recall_by_class_and_length(spark):
+    rng, lower, upper, digits = random.Random(9), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"base36": lower + digits, "base32": upper + "234567", "upper36": upper + digits, "base62": lower + upper + digits}
+    cases = [(k, n) for k in kinds for n in (24, 28, 32, 40)]
+    rows = [(at, "see " + "".join(rng.choices(kinds[k], k=n)) + " end") for at, (k, n) in enumerate(cases) for _ in range(100)]
+    out = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id int, text string")).filter(F.size("spans") > 0).groupBy("doc_id").count().collect()
+    got = {cases[r["doc_id"]]: r["count"] for r in out}
+    assert all(got.get(c, 0) >= (94 if c[1] == 24 else 97) for c in cases), got
+
+
+def test_entropy_allows_words_with_years(spark):
+    texts = ["donaudampfschiffahrtsgesellschaft2024", "annual-report-2024-of-the-northern-office-12", "Donaudampfschiffahrt-Gesellschaft-1999", "QUARTERLY_RESULTS_OF_2023_AND_2024_GROUP"]
+    out = secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: len(r.spans) for r in out} == {0: 0, 1: 0, 2: 0, 3: 0}

@@ -31,9 +31,16 @@ KINDS = ["assign", "access", "hex", "entropy"]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 WINDOW = 24
 #: Character class (pattern of the whole run, what it must have besides) and the least entropy in bits a character.
-CLASSES = [("hex", r"^[0-9A-Fa-f]+$", r"[0-9]", 2.9), ("base64", r"^[A-Za-z0-9+/_=-]+$", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 4.1)]
-#: Known harmless runs: UUIDs, dates with times, decimal numbers, ruled lines, path-like and hyphenated words.
-ALLOW = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9-]+$", r"^[0-9+/_=-]+$", r"^[A-Za-z]*([-_/=+][A-Za-z]+)*[-_/=+]*$", r"(?i)example|placeholder|xxxx|0123456789|abcdefghij"]
+CLASSES = [
+    ("hex", r"^[0-9A-Fa-f]+$", r"[0-9]", 2.9),
+    ("base36", r"^[a-z0-9+/_=-]+$", r"^(?=.*[0-9])(?=.*[a-z])", 3.6),
+    ("base32", r"^[A-Z0-9+/_=-]+$", r"^(?=.*[0-9])(?=.*[A-Z])", 3.5),
+    ("base64", r"^[A-Za-z0-9+/_=-]+$", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])", 3.9),
+]
+#: A word, a word with a year, or a short number.
+_PART = r"(?:[A-Za-z]+(?:(?:19|20)[0-9]{2})?|[0-9]{1,4})"
+#: Known harmless runs: UUIDs, dates with times, decimal numbers, ruled lines, path-like and hyphenated words, also with years or short numbers.
+ALLOW = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9-]+$", r"^[0-9+/_=-]+$", r"^[A-Za-z]*([-_/=+][A-Za-z]+)*[-_/=+]*$", rf"^[-_/=+]*{_PART}(?:[-_/=+]+{_PART})*[-_/=+]*$", r"(?i)example|placeholder|xxxx|0123456789|abcdefghij"]
 
 _SPANS = "array<struct<s:int,e:int,m:string>>"
 
