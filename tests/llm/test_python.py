@@ -161,6 +161,17 @@ def test_join_empty_and_survivors(odd, odd_rows, none):
     assert {"2", "3", "11", "12"}.isdisjoint(ids) and {"1", "10", "-3", "13"} <= set(ids)
 
 
+def test_survivors_of_a_repeated_id(spark, odd):
+    assert sorted(r.text for r in ngram_join.keep_one_of_each(odd).collect() if r.doc_id == 9) == ["one two three", "three two one"]
+    words = [f"w{k}" for k in range(60)]
+    near = [" ".join(words), " ".join([*words, "more"])]
+    rows = [(5, near[0]), (5, near[1]), (5, near[0]), (5, "another text"), (5, None), (5, " "), (5, " "), (6, near[0]), (7, "another text")]
+    kept = ngram_join.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in kept} == {5}
+    texts = [r.text for r in kept]
+    assert len(texts) == 4 and {"another text", None, " "} < set(texts) and len(set(texts) & set(near)) == 1
+
+
 def test_link_tile_bound_never_hides_a_link():
     rng = np.random.default_rng(4)
     sets = []

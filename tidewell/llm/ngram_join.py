@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import doc_key
@@ -222,9 +222,10 @@ def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), key.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), key, root.
 
-    ``key`` tells rows that repeat an id but not the text apart.
+    ``key`` tells rows that repeat an id but not the text apart.  ``root`` is one value for
+    the rows of a component, also where components share an id; null for an empty set.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     sketches = stage(rows.withColumn("key", doc_key(F.col("doc_id"), F.col("_text"))).mapInArrow(_sketch(size), "doc_id long, key long, hi long, lo long, n int, keys array<long>"), "join-sketches")
@@ -247,23 +248,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     least = stage(linked.join(nodes.select("node", "least"), "node"), "join-linked")
     named = stage(least.groupBy("root").agg(F.min("least").alias("component_id")), "join-named")
-    known = stage(least.select("node", "root").join(named, "root").select("node", "component_id"), "join-known")
-    found = stage(nodes.select("node", "hi", "lo", "least").join(known, "node", "left").select("hi", "lo", F.coalesce("component_id", "least").alias("component_id")), "join-classes")
+    known = stage(least.select("node", "root").join(named, "root").select("node", "root", "component_id"), "join-known")
+    found = stage(nodes.select("node", "hi", "lo", "least").join(known, "node", "left").select("hi", "lo", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("root")), "join-classes")
     out = sketches.select("doc_id", "key", "hi", "lo", F.col("n").cast("long").alias("n_shingles")).join(found, ["hi", "lo"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "root")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, whose id names their component: one of each.
 
-    Rows without an id in a component that has no id can't be told apart, and stay.
+    Of rows that repeat an id one stays for each component: linked rows are one document,
+    others aren't.  Rows without words are copies only if they repeat a row.  Rows without an
+    id in a component that has no id can't be told apart, and stay.
     """
     found = jaccard_components(docs, id_col, text_col)
     gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key")).distinct()
     own = docs.withColumn("_o_key", doc_key(F.col(id_col).cast("bigint"), F.col(text_col)))
     left = own.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_g_id")) & (F.col("_o_key") == F.col("_g_key")), "left_anti")
     repeats = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_r")).count().filter("count > 1")
-    if not repeats.isEmpty():  # linked rows with one id are one document
-        known = left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col])
+    if not repeats.isEmpty():
+        of_row = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_c_id"), F.col("key").alias("_c_key"), F.col("root").alias("_c_root")).distinct()
+        known = left.filter(F.col(id_col).isNotNull()).join(of_row, (F.col(id_col).cast("bigint") == F.col("_c_id")) & (F.col("_o_key") == F.col("_c_key")))
+        own_text = F.when(F.col("_c_root").isNull(), F.col("_o_key"))
+        place = F.row_number().over(Window.partitionBy("_c_id", "_c_root", own_text).orderBy("_o_key"))
+        known = known.withColumn("_place", place).filter("_place = 1").select(left.columns)
         left = known.unionByName(left.filter(F.col(id_col).isNull()))
     return left.drop("_o_key")
