@@ -105,6 +105,18 @@ def test_word_encoder_with_a_small_cache(monkeypatch):
             at += n
 
 
+def test_word_encoder_composes_before_it_folds_case():
+    from tokenizers import Tokenizer
+
+    model = read("word_bpe_49k.json")
+    library = Tokenizer.from_str(model.decode())
+    texts = ["H\u0331a J\u030cb T\u0308 T\u0344x W\u030a Y\u030a The THE the É E\u0301", "plain Words", "<|endoftext|> H\u0331 Other"]
+    for some in (texts, texts[:2], texts[::-1]):  # whatever shares the batch
+        lengths, ids = token_shards.WordEncoder(model).encode(pa.array(some), 2)
+        ends = np.cumsum(lengths)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in some]
+
+
 def test_shard_query(spark, sf):
     from tokenizers import Tokenizer
 

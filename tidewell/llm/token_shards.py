@@ -181,13 +181,13 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(token counts, ids) of the texts, each with the end id after it."""
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # the model folds case, but not that of special tokens
-            texts = pc.ascii_lower(texts)
         runs = pc.ascii_split_whitespace(texts)
         per_text = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.dictionary_encode(runs.flatten())
-        words = coded.dictionary.to_pylist()
-        self._learn(words)
+        # The model folds case, but not that of special tokens, and composes marks before it does.
+        folds = pc.and_(pc.string_is_ascii(coded.dictionary), pc.invert(pc.match_substring(coded.dictionary, "<|")))
+        words = pc.if_else(folds, pc.ascii_lower(coded.dictionary), coded.dictionary).to_pylist()
+        self._learn(list(dict.fromkeys(words)))
         place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         self.met[place] += 1
         starts, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
