@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -50,12 +51,12 @@ def contamination(rows, items):
     return out
 
 
-def near(rows):
-    """{row number: (set size, component)}, by comparing all pairs."""
+def near(rows, size=4, percent=85):
+    """(doc_id, set size, component) of each row, by comparing all pairs of different sets."""
     sets = []
     for _, text in rows:
         words = [w for w in SPACE.split((text or "").translate(UPPER)) if w]
-        sets.append({tuple(words[k : k + 4]) for k in range(max(1, len(words) - 3))} if words else set())
+        sets.append(frozenset(tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))) if words else frozenset())
     parent = list(range(len(rows)))
 
     def find(k):
@@ -63,10 +64,17 @@ def near(rows):
             k = parent[k]
         return k
 
-    for a in range(len(rows)):
-        for b in range(a):
+    first = {}
+    for a, s in enumerate(sets):
+        if s:
+            parent[find(a)] = find(first.setdefault(s, a))
+    kinds = sorted(first.values(), key=lambda k: len(sets[k]))
+    for at, a in enumerate(kinds):
+        for b in kinds[at + 1 :]:
+            if 100 * len(sets[a]) < percent * len(sets[b]):
+                break
             common = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 parent[find(a)] = find(b)
     least = {}
     for k, (doc_id, _) in enumerate(rows):
@@ -84,3 +92,24 @@ def secrets(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
     return sorted(found)
+
+
+def entropy_spans(text, module):
+    """Entropy spans of a text: every window of a candidate that no base span touches, counted afresh."""
+    text, out = text or "", []
+    base = secrets(text)
+    for m in re.finditer(module.CANDIDATE, text):
+        run, a, e = m[0], m.start(), m.end()
+        if any(s < e and t > a for s, _, t in base) or any(re.search(p, run) for p in module.ALLOW):
+            continue
+        least = next((bits for _, whole, has, bits in module.CLASSES if re.search(whole, run) and re.search(has, run)), None)
+        if least is None:
+            continue
+        hot = []
+        for k in range(len(run) - module.WINDOW + 1):
+            counts = collections.Counter(run[k : k + module.WINDOW]).values()
+            if math.log2(module.WINDOW) - sum(c * math.log2(c) for c in counts) / module.WINDOW >= least:
+                hot.append(k)
+        if hot:
+            out.append((a + hot[0], 3, a + hot[-1] + module.WINDOW))
+    return out

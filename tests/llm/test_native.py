@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import brute
 import pytest
@@ -109,6 +110,27 @@ def test_secret_queries(spark, sf, none):
     assert secrets.scan_secrets(none).count() == 0
 
 
+def test_all_spans_of_the_real_table(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.spans for r in queries()["op9_secrets"](spark, sf).collect()}
+    for doc_id, text in rows_of(spark, sf):
+        own = brute.entropy_spans(text, secrets)
+        assert got[doc_id] == ",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in sorted(brute.secrets(text) + own))
+
+
+def test_secret_scan_of_long_runs_and_many_matches(spark):
+    """A run of 200,000 characters, and 20,000 matches in one text, take seconds."""
+    rng = random.Random(31)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=200_000))
+    many = " ".join(f"token={k:06d} {'x' * (k % 3)} {k:024x} q7Gz0PvXk2Lw9Rt4Yb6Nc8Hs{k}" for k in range(7000))
+    rows = [(1, "é " + run + " end"), (2, many), (3, "word " * 50_000)]
+    began = time.perf_counter()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1] == [(2, 3, 200_002)] and got[3] == []
+    assert got[2] == sorted(brute.secrets(many) + brute.entropy_spans(many, secrets)) and len(got[2]) > 20_000
+
+
 def entropy(text):
     return -sum(text.count(c) / len(text) * math.log2(text.count(c) / len(text)) for c in set(text))
 

@@ -7,7 +7,8 @@ which a pattern occurs pay for that.
 Candidate strings for entropy are runs of ``CANDIDATE``.  A window of ``WINDOW``
 characters slides over a run; the counts of its characters, and with them the sum of
 ``c * log2(c)``, are changed by the character that enters and the one that leaves.
-The entropy is ``log2(WINDOW) - sum / WINDOW``.  Each class of characters has its own
+The entropy is ``log2(WINDOW) - sum / WINDOW``.  Work grows with a run's length, and
+with matches ``m`` of a text as ``m log m``.  Each class of characters has its own
 threshold.  Runs that match the allow list, and runs that touch a base span, add none.
 
 Defined results: a null text is empty and has no spans; spans count code points, end
@@ -17,6 +18,8 @@ looked at.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,20 +46,37 @@ _PART = r"(?:[A-Za-z]+(?:(?:19|20)[0-9]{2})?|[0-9]{1,4})"
 ALLOW = [r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9-]+$", r"^[0-9+/_=-]+$", r"^[A-Za-z]*([-_/=+][A-Za-z]+)*[-_/=+]*$", rf"^[-_/=+]*{_PART}(?:[-_/=+]+{_PART})*[-_/=+]*$", r"(?i)example|placeholder|xxxx|0123456789|abcdefghij"]
 
 _SPANS = "array<struct<s:int,e:int,m:string>>"
+_OFFSETS = [1 << k for k in range(31)]
+#: Least code of a character of a candidate, and how many codes there are from it on.
+_FIRST_CODE, _CODES = 43, 80
+
+
+def _scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array under an associative function, by doubling: each element joins the one 1, 2, 4, ... places before."""
+
+    def step(acc: Column, d: Column) -> Column:
+        return F.when(d < F.size(acc), F.transform(acc, lambda x, i: F.when(i >= d, join(F.get(acc, i - d), x)).otherwise(x))).otherwise(acc)
+
+    return F.aggregate(F.array(*map(F.lit, _OFFSETS)), values, step)
 
 
 def _spans(text: Column, pattern: str) -> Column:
     """Matches of a pattern as structs of start, end and text; empty where there is none."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    # split() gives a gap before each match and one after the last, which pairs with nothing.
+    steps = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct((F.length(g) + F.length(m)).alias("e"), m.alias("m"))), lambda x: x["m"].isNotNull())
+    ends = _scan(steps, lambda a, b: F.struct((a["e"] + b["e"]).alias("e"), b["m"].alias("m")))
+    spans = F.transform(ends, lambda x: F.struct((x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
 
-    def step(acc, x):
-        s = acc["at"] + F.length(x["g"])
-        e = s + F.length(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPANS))
+def _apart(runs: Column, spans: Column) -> Column:
+    """The runs that no span touches; a running maximum of the ends of the spans that start before a run ends."""
+    place = lambda at, late, end, run: F.struct(at.alias("at"), F.lit(late).alias("late"), end.alias("end"), run.alias("run"))
+    none = F.lit(None).cast(_SPANS[6:-1])
+    events = F.array_sort(F.concat(F.transform(spans, lambda b: place(b["start"], 1, b["end"], none)), F.transform(runs, lambda r: place(r["e"], 0, F.lit(-1), r))))
+    reach = _scan(events, lambda a, b: F.struct(b["at"].alias("at"), b["late"].alias("late"), F.greatest(a["end"], b["end"]).alias("end"), b["run"].alias("run")))
+    return F.transform(F.filter(reach, lambda x: x["run"].isNotNull() & (x["end"] <= x["run"]["s"])), lambda x: x["run"])
 
 
 def _xlog(c: Column) -> Column:
@@ -64,23 +84,29 @@ def _xlog(c: Column) -> Column:
 
 
 def window_entropy(run: Column, width: int, least: Column) -> Column:
-    """Struct of first and last window start whose entropy is at least ``least`` (null if none) and the top entropy."""
-    zero = F.array_repeat(F.lit(0), 128)
-    start = F.struct(zero.alias("c"), F.lit(0.0).alias("x"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit(0.0).alias("top"))
-
-    def step(acc, i):
-        new = F.ascii(F.substring(run, i, F.lit(1)))
-        old = F.when(i > width, F.ascii(F.substring(run, i - width, F.lit(1)))).otherwise(F.lit(-1))
+    """Struct of first and last window start whose entropy is at least ``least`` (null if none) and the top entropy.
+
+    The run is split into codes once; each step has the code that enters and the one that
+    leaves, so the work is in proportion to the run.
+    """
+    codes = F.transform(F.split(run, ""), lambda c: F.ascii(c) - _FIRST_CODE)
+    moves = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), width), codes), lambda a, b: F.struct(a.alias("new"), b.alias("old")))
+    zero = F.array_repeat(F.lit(0), _CODES)
+    start = F.struct(F.lit(0).alias("i"), zero.alias("c"), F.lit(0.0).alias("x"), F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), F.lit(0.0).alias("top"))
+
+    def step(acc, move):
+        i, new, old = acc["i"] + 1, move["new"], move["old"]
         at = lambda k: F.get(acc["c"], k)
         gain = _xlog(at(new) + 1) - _xlog(at(new))
         loss = F.when(old >= 0, _xlog(at(old)) - _xlog(at(old) - 1)).otherwise(F.lit(0.0))
         x = F.when(new == old, acc["x"]).otherwise(acc["x"] + gain - loss)
-        counts = F.when(new == old, acc["c"]).otherwise(F.transform(acc["c"], lambda v, k: v + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0)))
+        counts = F.when(new == old, acc["c"]).otherwise(F.transform(acc["c"], lambda v, k: F.when(k == new, v + 1).when(k == old, v - 1).otherwise(v)))
         bits = F.when(i >= width, F.log2(F.lit(float(width))) - x / width).otherwise(F.lit(0.0))
         hit = (i >= width) & (bits >= least)
-        return F.struct(counts.alias("c"), x.alias("x"), F.when(hit & acc["lo"].isNull(), i - width).otherwise(acc["lo"]).alias("lo"), F.when(hit, i - width).otherwise(acc["hi"]).alias("hi"), F.greatest(acc["top"], bits).alias("top"))
+        return F.struct(i.alias("i"), counts.alias("c"), x.alias("x"), F.when(hit & acc["lo"].isNull(), i - width).otherwise(acc["lo"]).alias("lo"), F.when(hit, i - width).otherwise(acc["hi"]).alias("hi"), F.greatest(acc["top"], bits).alias("top"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"), acc["top"].alias("top")))
+    inside = F.filter(moves, lambda m: m["new"].isNotNull())
+    return F.aggregate(inside, start, step, lambda acc: F.struct(acc["lo"].alias("lo"), acc["hi"].alias("hi"), acc["top"].alias("top")))
 
 
 def _threshold(run: Column) -> Column:
@@ -98,7 +124,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = lambda spans, k: F.transform(spans, lambda x: F.struct(x["s"].alias("start"), F.lit(k).alias("kind"), x["e"].alias("end")))
     assign = F.filter(_spans(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= 6)
     base = one.withColumn("_base", F.concat(kind(assign, 0), kind(_spans(text, ACCESS_LONG), 1), kind(_spans(text, HEX_LONG), 2)))
-    free = F.filter(F.col("_runs"), lambda r: ~F.exists(F.col("_base"), lambda b: (b["start"] < r["e"]) & (b["end"] > r["s"])))
+    free = _apart(F.col("_runs"), F.col("_base"))
     rated = F.filter(F.transform(free, lambda r: F.struct(r["s"].alias("s"), r["m"].alias("m"), _threshold(r["m"]).alias("t"))), lambda r: r["t"].isNotNull())
     hot = F.filter(F.transform(rated, lambda r: F.struct(r["s"].alias("s"), window_entropy(r["m"], width, r["t"]).alias("w"))), lambda r: r["w"]["lo"].isNotNull())
     added = F.transform(hot, lambda r: F.struct((r["s"] + r["w"]["lo"]).alias("start"), F.lit(3).alias("kind"), (r["s"] + r["w"]["hi"] + width).alias("end")))
