@@ -36,8 +36,9 @@ def odd_rows():
 @pytest.fixture(scope="session")
 def odd(spark):
     """The odd rows with further columns whose names clash with inner ones."""
-    rows = [(i, t, "en", "s", 1, 2, 3, "x", [1]) for i, t in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, key int, n int, hi long, tile string, ids array<int>").repartition(3)
+    rows = [(i, t, "en", "s", 1, 2, 3, "x", [1], 0.5, "und", 7, "d", 9, 1.5, "k", 3, [2], "t") for i, t in ODD]
+    clashing = "score double, lang_pred string, _key int, _dig string, _n int, _k_id double, _g_key string, node int, keys array<int>, _text string"
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, key int, n int, hi long, tile string, ids array<int>, {clashing}").repartition(3)
 
 
 @pytest.fixture(scope="session")

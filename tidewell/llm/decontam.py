@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ascii_lower, doc_key
+from tidewell.llm.common import ascii_lower, doc_key, unused
 from tidewell.plans.staging import stage
 
 WINDOW, SHINGLE = 13, 5
@@ -117,6 +117,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with their columns, that aren't contaminated."""
     found = decontaminate(docs, items, id_col, text_col)
-    gone = found.filter("contaminated").select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key")).distinct()
-    own = docs.withColumn("_o_key", doc_key(F.col(id_col), F.col(text_col)))
-    return own.join(gone, F.col(id_col).eqNullSafe(F.col("_g_id")) & (F.col("_o_key") == F.col("_g_key")), "left_anti").drop("_o_key")
+    own_key, g_id, g_key = unused(docs, "key", "g_id", "g_key")
+    gone = found.filter("contaminated").select(F.col("doc_id").alias(g_id), F.col("key").alias(g_key)).distinct()
+    own = docs.withColumn(own_key, doc_key(F.col(id_col), F.col(text_col)))
+    return own.join(gone, F.col(id_col).eqNullSafe(F.col(g_id)) & (F.col(own_key) == F.col(g_key)), "left_anti").drop(own_key)

@@ -28,7 +28,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import ASCII_SPACE
+from tidewell.llm.common import ASCII_SPACE, unused
 from tidewell.plans.staging import stage
 
 #: A class is hot if it holds more than one row in so many.
@@ -87,11 +87,12 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows that repeat a kept row's id, text class and length are one row, as any of them may stay.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_digest").alias("_k_dig"), F.col("n_chars").alias("_k_n"))
+    k_id, k_dig, k_n, dig, n = unused(docs, "k_id", "k_dig", "k_n", "dig", "n")
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(k_id), F.col("text_digest").alias(k_dig), F.col("n_chars").alias(k_n))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumns({"_o_dig": _sha256(F.regexp_replace(text, ASCII_SPACE, "")), "_o_n": F.length(text)})
-    found = own.join(kept, F.col(id_col).cast("bigint").eqNullSafe(F.col("_k_id")) & (F.col("_o_dig") == F.col("_k_dig")) & (F.col("_o_n") == F.col("_k_n")), "left_semi")
-    repeats = docs.groupBy(F.col(id_col).alias("_r")).count().filter("count > 1")
+    own = docs.withColumns({dig: _sha256(F.regexp_replace(text, ASCII_SPACE, "")), n: F.length(text)})
+    found = own.join(kept, F.col(id_col).cast("bigint").eqNullSafe(F.col(k_id)) & (F.col(dig) == F.col(k_dig)) & (F.col(n) == F.col(k_n)), "left_semi")
+    repeats = docs.groupBy(F.col(id_col).alias(k_id)).count().filter("count > 1")
     if not repeats.isEmpty():  # ids repeat in this table: of their equal rows one stays
-        found = found.dropDuplicates(["_o_dig"])
-    return found.drop("_o_dig", "_o_n")
+        found = found.dropDuplicates([dig])
+    return found.drop(dig, n)

@@ -32,7 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_arrow
+from tidewell.llm.words import parts
+
 GRAM = 4
+#: Characters of texts that are judged at a time.
+CHARS = 1_000_000
 SAMPLE_ROWS = 20_000
 PER_LANGUAGE = 20_000
 SLOTS_LOG2, PROBES = 18, 3
@@ -147,7 +152,7 @@ def learn(docs: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: st
                     got, counts = np.unique(grams(own[a : a + 500], size)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(got)), pa.array(got.view(np.int64)), pa.array(counts.astype(np.int64))], ["lang", "gram", "n"])
 
-    counted = sample.select("_text", "_lang").mapInArrow(count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter("n > 2")
+    counted = in_arrow(sample.select("_text", "_lang"), count, "lang string, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")).filter("n > 2")
     totals = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counted.join(F.broadcast(totals), "lang").withColumn("share", F.col("n") / F.col("total"))
     most = F.max("share").over(Window.partitionBy("gram"))
@@ -163,33 +168,31 @@ def identify(docs: DataFrame, model: LanguageFilter, id_col: str = "doc_id", tex
     """(doc_id, lang_pred, score) for every row; the model is a few MB."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(_predictor(shared, "_text", ["doc_id"]), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
-
+    kind = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
 
-def _predictor(shared, text_col: str, keep: list[str]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            chars = pc.fill_null(pc.utf8_length(batch[text_col]), 0).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(chars) // 2_000_000, prepend=0)) + 1  # bounded work at a time
-            for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True):
-                if a < b:
-                    part = batch.slice(a, b - a)
-                    langs, scores = model.predict(part[text_col].to_pylist())
-                    yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+        for part, langs, scores in _predicted(shared.value, batches, "_text"):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(langs, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+
+    return in_arrow(rows, work, kind)
 
-    return work
+
+def _predicted(model: LanguageFilter, batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Bounded parts of the batches with their predictions."""
+    for batch in batches:
+        for part in parts(batch, text_col, CHARS):
+            yield part, *model.predict(part[text_col].to_pylist())
 
 
 def keep_identified(docs: DataFrame, model: LanguageFilter, least: float, text_col: str = "text") -> DataFrame:
-    """Rows of ``docs``, with their columns, whose text is in some language with at least the score ``least``."""
+    """Rows of ``docs``, with their columns, whose text is in some language with at least the score ``least``.
+
+    Columns may have any names, those of ``identify`` included.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = list(docs.columns)
-    inner = _predictor(shared, text_col, columns)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in inner(batches):
-            known = pc.and_(pc.not_equal(out["lang_pred"], "und"), pc.greater_equal(out["score"], least))
-            yield out.select(columns).filter(known)
+        for part, langs, scores in _predicted(shared.value, batches, text_col):
+            yield part.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema)
+    return in_arrow(docs, work, docs.schema)
