@@ -168,9 +168,42 @@ def test_join_empty_and_survivors(odd, odd_rows, none):
     assert ngram_join.jaccard_components(none).count() == 0
     kept = ngram_join.keep_one_of_each(odd)
     assert kept.columns == odd.columns
-    ids = sorted(str(r.doc_id) for r in kept.collect())
-    assert ids == sorted(str(i) for i in {c for i, _, c in brute.near(odd_rows) if i is not None and i == c}) + ["None", "None"] or set(ids) <= {str(i) for i, _ in odd_rows}
-    assert {"2", "3", "11", "12"}.isdisjoint(ids) and {"1", "10", "-3", "13"} <= set(ids)
+    one = {i for i, _, c in brute.near(odd_rows) if i is not None and i == c}
+    got = sorted(((str(r.doc_id), r.text) for r in kept.collect()), key=str)
+    assert {i for i, _ in got} == {str(i) for i in one} | {"None"}
+    assert [t for i, t in got if i == "8"] == [] and [t for i, t in got if i == "None"] == ["no id here", None]
+    assert [t for i, t in got if i == "9"] == ["one two three", "three two one"] and len(got) == len(one) + 3
+
+
+def test_join_recall_on_pairs_at_the_threshold(spark):
+    """Every pair is just over the threshold, where neighbourhoods are likeliest to miss one."""
+    rng, rows = random.Random(21), []
+    for k in range(1500):
+        n = rng.choice([7, 8, 13, 20, 60, 150])
+        words = [f"p{k}w{j}" for j in range(n + 3)]  # n shingles
+        more = n * 100 // 85 - n  # shingles that one more text may have
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *(f"p{k}x{j}" for j in range(more))]))]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for exact in (False, True):
+        got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df, exact=exact).collect()}
+        assert sum(got[2 * k + 1] == 2 * k for k in range(1500)) == 1500
+
+
+def test_join_of_a_group_of_thousands(spark):
+    """Near copies of one text, of which many pairs don't link, and texts near the group that aren't in it."""
+    rng, base = random.Random(22), [f"w{j}" for j in range(60)]
+    rows = []
+    for k in range(3000):
+        words = list(base)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    rows += [(5000 + k, " ".join(base[: 42 + k] + [f"u{k}{j}" for j in range(9)])) for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    want = sorted(brute.near(rows), key=str)
+    assert len({c for _, _, c in want}) > 1
+    for options in ({}, {"first": 3000, "tile": 5000}, {"first": 3000, "exact": True}):
+        assert joined(df, **options) == want
 
 
 def test_survivors_of_a_repeated_id(spark, odd):

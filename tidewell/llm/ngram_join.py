@@ -4,23 +4,31 @@ A document's set is its distinct shingles of ``size`` words as 64-bit hashes; tw
 documents link if ``100 * common >= percent * union``.
 
 1. Documents with equal sets are one node, so copies are compared once.
-2. Min-hash bands put nodes that may link into neighbourhoods.  A pair at the
-   threshold shares a band of ``ROWS`` minima out of ``BANDS`` except with
-   probability ``(1 - 0.85 ** 5) ** 44 < 1e-11``, closer pairs with far less; no pair
-   of a band is written down, every node gets one edge to the band's least node.
-3. Neighbourhoods are cut into tiles: nodes are banded by size, where only equal and
-   adjacent bands can link, and a band's nodes are dealt over tiles of bounded total
-   size.  A task holds one tile, or a pair of them.
-4. In a tile, each node has a bitmap of its hashed shingles.  A bit of one that the
+2. Keys put nodes that may link into neighbourhoods; no pair of nodes with a key is
+   written down, every node gets one edge to the least node of its keys, and connected
+   components of these are the neighbourhoods.  There are two kinds of keys:
+   ``bands`` (min-hash): a pair at the threshold shares a band of ``ROWS`` minima except
+   with a probability under ``MISS``, closer pairs with far less; ``prefix``: the least
+   hashes of a set, as many as make it impossible that a link shares none (prefix
+   filtering in the order of the hashes), which misses nothing but makes larger
+   neighbourhoods where many documents share a passage.
+3. Neighbourhoods are cut into tiles.  One of up to ``FIRST`` shingles is a tile.  The
+   nodes of a larger one are banded by size and dealt twice, by other hashes and other
+   size bands, to tiles of that volume; a dense group is one component after that.
+4. Where components remain apart in such a neighbourhood, every node outside its
+   largest component meets every node of its own and the adjacent size bands, in pairs
+   of tiles of up to ``TILE`` shingles.
+5. In a tile, each node has a bitmap of its hashed shingles.  A bit of one that the
    other lacks stands for a shingle at least that isn't common, so bit counts bound
    the overlap from above.  Only pairs whose bound reaches the threshold, and that
    aren't already connected, get the exact intersection of their sorted arrays.
-5. A tile gives a spanning forest of its links, and connected components of all
-   forests are the result.  No link between different sets is lost by that, as a
-   pair that is skipped is connected already.
+6. A tile gives a spanning forest of its links, and connected components of all
+   forests are the result.  No link in a neighbourhood is lost by that, as a pair that
+   is skipped is connected already.
 
 Neither a band nor a group of copies is ever held in one task as pairs, and nothing
-is capped.
+is capped.  Data dealt in steps 3 and 4 are linear in a neighbourhood as long as what
+stays outside its largest component fits a tile.
 
 Defined results: a null text, or one without words, has the empty set, links with
 nothing and is its own component; repeated rows are copies; a null id never names a
@@ -34,24 +42,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import doc_key
-from tidewell.llm.components import connected_components
+from tidewell.llm.common import doc_key, in_arrow, unused
+from tidewell.llm.components import connected_components, star_edges
 from tidewell.llm.words import hashed_words, parts
-from tidewell.plans.staging import stage
+from tidewell.plans.staging import stage, unstage
 
 SIZE, PERCENT = 4, 85
-ROWS, BANDS = 5, 44
-#: Shingles that a tile holds; a pair of tiles has twice as many.
-TILE = 2_000_000
-#: Bytes of a tile's bitmaps.
-MAPS = 32_000_000
+#: Minima of a band, and the probability that a pair at the threshold shares no band.
+ROWS, MISS = 5, 1.1e-11
+#: Shingles of a tile of the first dealing, and of the others; a pair of tiles has twice as many.
+FIRST, TILE = 40_000, 1_000_000
+#: Bytes of a tile's bitmaps, and nodes that one is compared with at a time.
+MAPS, STEP = 16_000_000, 512
+#: Characters of texts that are hashed at a time.
+CHARS = 1_000_000
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
+_MOST_BANDS = 512
 _rng = np.random.default_rng(20240131)
-_XOR = _rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
-_MUL = _rng.integers(0, 1 << 31, ROWS * BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_XOR = _rng.integers(0, 1 << 32, ROWS * _MOST_BANDS, dtype=np.uint32)
+_MUL = _rng.integers(0, 1 << 31, ROWS * _MOST_BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def n_bands(percent: int) -> int:
+    """Bands that leave a pair at the threshold unmet with a probability of at most ``MISS``."""
+    if percent >= 100:
+        return 1
+    need = math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** ROWS)))
+    if need > _MOST_BANDS:
+        raise ValueError(f"a similarity of {percent} % takes {need} bands; use prefix keys")
+    return need
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,14 +112,14 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & ((1 << 64) - 1)) - (1 << 63)
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
     """A row of band keys for each of the sets, none of them empty."""
     flat = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     lengths = np.fromiter(map(len, sets), np.int64, len(sets))
     starts = np.cumsum(lengths) - lengths
-    keys = np.zeros((len(sets), BANDS), np.uint64)
+    keys = np.zeros((len(sets), bands), np.uint64)
     scratch = np.empty_like(flat)
-    for k in range(ROWS * BANDS):
+    for k in range(ROWS * bands):
         np.bitwise_xor(flat, _XOR[k], out=scratch)
         np.multiply(scratch, _MUL[k], out=scratch)
         band = k // ROWS
@@ -105,13 +127,20 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _sketch(size: int):
+def prefix_keys(sets: list[np.ndarray], percent: int) -> list[np.ndarray]:
+    """The least hashes of each set, of which two sets that link share one: a link has ``percent`` of either set in common."""
+    return [s[: len(s) - -(-percent * len(s) // 100) + 1].view(np.int64) for s in sets]
+
+
+def _sketch(size: int, percent: int, exact: bool):
+    bands = 0 if exact else n_bands(percent)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch, "_text", 2_000_000):
+            for part in parts(batch, "_text", CHARS):
                 sets = shingle_sets(part["_text"], size)
                 full = [s for s in sets if len(s)]
-                keys = iter(band_keys(full) if full else ())
+                keys = iter((prefix_keys(full, percent) if exact else band_keys(full, bands)) if full else ())
                 marks = [digest(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part["doc_id"], part["key"], pa.array([x for x, _ in marks], pa.int64()), pa.array([x for _, x in marks], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))],
@@ -123,19 +152,28 @@ def _sketch(size: int):
 
 def _sets_of_nodes(size: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat an id and a text give their node's set once a task
         for batch in batches:
-            for part in parts(batch, "_text", 2_000_000):
+            for part in parts(batch, "_text", CHARS):
+                nodes, fresh = part["node"].to_pylist(), []
+                for node in nodes:
+                    fresh.append(node not in seen)
+                    seen.add(node)
+                part = part.filter(pa.array(fresh, pa.bool_()))
+                if not len(part):
+                    continue
                 sets = shingle_sets(part["_text"], size)
                 same = [digest(s) == m if len(s) else False for s, m in zip(sets, zip(part["hi"].to_pylist(), part["lo"].to_pylist(), strict=True), strict=True)]
                 data = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([part["node"], part["tiles"], data], ["node", "tiles", "data"]).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([part["node"], data], ["node", "data"]).filter(pa.array(same, pa.bool_()))
 
     return work
 
 
-def link_tile(nodes: list[int], sets: list[np.ndarray], sides: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile (side 2), or between two tiles (sides 0 and 1)."""
+def link_tile(nodes: list[int], sets: list[np.ndarray], sides: list[int], percent: int = PERCENT, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links in a tile (side 2), or between two tiles (sides 0 and 1); nodes with one root are connected already."""
     order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
+    known = np.unique([roots[k] for k in order], return_inverse=True)[1] if roots else np.arange(len(nodes))
     nodes, sets, sides = [nodes[k] for k in order], [sets[k] for k in order], np.array([sides[k] for k in order])
     lengths = np.array([len(s) for s in sets])
     bits = min(1 << 16, max(256, 1 << int(2 * lengths.max()).bit_length()))
@@ -145,7 +183,7 @@ def link_tile(nodes: list[int], sets: list[np.ndarray], sides: list[int], percen
     for k, s in enumerate(sets):
         at = (s & np.uint64(bits - 1)).astype(np.int64)
         np.bitwise_or.at(maps[k], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    root = np.arange(len(nodes))  # of each node, kept flat
+    root = known  # of each node, kept flat
     forest = []
     for i in range(1, len(nodes)):
         low = int(np.searchsorted(lengths, -(-percent * lengths[i] // 100), "left"))
@@ -155,14 +193,14 @@ def link_tile(nodes: list[int], sets: list[np.ndarray], sides: list[int], percen
         other = other[(root[low:i] != root[i]) & ((sides[low:i] != sides[i]) | (sides[i] == 2))]
         if not len(other):
             continue
-        # Of equal sizes the bound costs one pass over the bitmaps; blocks keep it small.
-        need = -(-percent * (lengths[other] + lengths[i]) // (100 + percent))
-        for a in range(0, len(other), 2048):
-            block = other[a : a + 2048]
+        # The bound costs one pass over the bitmaps; blocks keep it small.
+        for a in range(0, len(other), STEP):
+            block = other[a : a + STEP]
+            block = block[root[block] != root[i]]
             mine = np.bitwise_count(maps[i] & ~maps[block]).sum(axis=1, dtype=np.int64)
             theirs = np.bitwise_count(maps[block] & ~maps[i]).sum(axis=1, dtype=np.int64)
             bound = np.minimum(lengths[i] - mine, lengths[block] - theirs)
-            maybe = np.flatnonzero(bound >= need[a : a + 2048])
+            maybe = np.flatnonzero(bound >= -(-percent * (lengths[block] + lengths[i]) // (100 + percent)))
             for k in maybe[np.argsort(-bound[maybe], kind="stable")]:
                 j = int(block[k])
                 if root[j] == root[i]:
@@ -177,100 +215,149 @@ def link_tile(nodes: list[int], sets: list[np.ndarray], sides: list[int], percen
 
 def _link(percent: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, nodes, sets, sides = None, [], [], []
+        tile, nodes, sets, sides, roots = None, [], [], [], []
 
         def links() -> pa.RecordBatch:
-            found = link_tile(nodes, sets, sides, percent) if len(nodes) > 1 else []
+            found = link_tile(nodes, sets, sides, percent, roots) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:  # sorted by tile
-            for key, node, side, data in zip(batch["tile"].to_pylist(), batch["node"].to_pylist(), batch["side"].to_pylist(), batch["data"], strict=True):
+            for key, node, side, root, data in zip(batch["tile"].to_pylist(), batch["node"].to_pylist(), batch["side"].to_pylist(), batch["root"].to_pylist(), batch["data"], strict=True):
                 if key != tile:
                     if len(nodes) > 1:
                         yield links()
-                    tile, nodes, sets, sides = key, [], [], []
+                    tile, nodes, sets, sides, roots = key, [], [], [], []
                 if nodes and node == nodes[-1]:
                     continue  # a row that repeats an id and a text
                 nodes.append(node)
-                sets.append(np.frombuffer(data.as_buffer(), np.uint64))
+                sets.append(np.frombuffer(data.as_py(), np.uint64))
                 sides.append(side)
+                roots.append(root)
         if len(nodes) > 1:
             yield links()
 
     return work
 
 
-def _tiles(members: DataFrame, percent: int, tile: int) -> DataFrame:
-    """Adds ``tiles``, an array of (tile, side), to (node, comp, n)."""
+def _band(percent: int, shift: float) -> Column:
+    """Size band of a set: sets that link are in one band or in adjacent ones, whatever the shift."""
     width = math.log(100 / (percent - 0.1))  # a little wider than the sizes of linked sets can differ
-    volume = members.groupBy("comp").agg(F.sum("n").alias("volume")).filter(F.col("volume") > tile).select("comp")
-    banded = members.withColumn("band", F.floor(F.log("n") / width).cast("int"))
-    bands = stage(banded.join(volume, "comp", "left_semi").groupBy("comp", "band").agg(F.ceil(F.sum("n") / tile).cast("int").alias("m")), "join-bands")
-    at = lambda name, shift: bands.select("comp", (F.col("band") + shift).alias("band"), F.col("m").alias(name))
+    return F.floor(F.log("n") / width + shift).cast("int")
+
+
+def _entry(tile: Column, side: Column) -> Column:
+    return F.struct(tile.cast("string").alias("tile"), side.cast("int").alias("side"))
+
+
+def _first_tiles(members: DataFrame, wide: DataFrame, percent: int, first: int) -> DataFrame:
+    """(node, root, tiles): a small neighbourhood's one tile, a wide one's two dealings."""
+    small = members.join(wide, "comp", "left_anti").select("node", F.col("node").alias("root"), F.array(_entry(F.col("comp"), F.lit(2))).alias("tiles"))
+    deals = F.explode(F.array(*[F.struct(F.lit(k).alias("deal"), _band(percent, k / 2).alias("band")) for k in range(2)]))
+    twice = members.join(wide, "comp", "left_semi").select("node", "comp", "n", deals.alias("d")).select("node", "comp", "n", "d.deal", "d.band")
+    sizes = twice.groupBy("comp", "deal", "band").agg(F.ceil(F.sum("n") / first).alias("m"))
+    name = F.concat_ws(":", "comp", "deal", "band", F.pmod(F.xxhash64("node", "deal"), F.col("m")))
+    large = twice.join(sizes, ["comp", "deal", "band"]).groupBy("node").agg(F.collect_list(_entry(name, F.lit(2))).alias("tiles"))
+    return small.unionByName(large.select("node", F.col("node").alias("root"), "tiles"))
+
+
+def _rest_tiles(apart: DataFrame, percent: int, tile: int, first: int) -> DataFrame:
+    """(node, root, tiles) for nodes (node, comp, n, root, main, rest) of neighbourhoods that hold several components.
+
+    A band has tiles of nodes outside the neighbourhood's main component, then tiles of
+    those inside, as small as ``rest``, the volume outside, lets them be without dealing
+    more than that.  Each pair of tiles of a band or of adjacent bands meets, except for
+    two of the latter kind.
+    """
+    banded = apart.withColumn("band", _band(percent, 0))
+    volume = lambda main: F.coalesce(F.sum(F.when(F.col("main") == main, F.col("n"))), F.lit(0))
+    tiles = lambda main: F.ceil(volume(main) / (F.least(F.lit(tile), F.greatest(F.lit(first), F.first("rest"))) if main else tile)).cast("int")
+    bands = stage(banded.groupBy("comp", "band").agg(tiles(False).alias("r"), tiles(True).alias("s")), "join-bands")
+    at = lambda name, shift: bands.select("comp", (F.col("band") + shift).alias("band"), F.struct("r", "s").alias(name))
     # Adjacent bands seen from a band: the one above has its number less one.
-    wide = banded.join(at("m", 0), ["comp", "band"], "left").join(at("up", -1), ["comp", "band"], "left").join(at("down", 1), ["comp", "band"], "left")
-    i = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    wide = banded.join(at("own", 0), ["comp", "band"]).join(at("up", -1), ["comp", "band"], "left").join(at("down", 1), ["comp", "band"], "left")
+    i = F.when(F.col("main"), F.col("own.r") + F.pmod(F.xxhash64("node"), F.col("own.s"))).otherwise(F.pmod(F.xxhash64("node"), F.col("own.r"))).cast("int")
     name = lambda b1, i1, b2, i2: F.concat_ws(":", F.col("comp"), b1, i1, b2, i2)
-    seq = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    entry = lambda tile, side: F.struct(tile.alias("tile"), side.alias("side"))
+
+    def others(of: str) -> Column:
+        """Tiles of a band that a node's tile meets."""
+        count = F.when(F.col("main"), F.col(f"{of}.r")).otherwise(F.col(f"{of}.r") + F.col(f"{of}.s"))
+        return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
     band = F.col("band")
-    own = F.transform(seq(F.col("m")), lambda j: entry(name(band, F.least(i, j), band, F.greatest(i, j)), F.when(j == i, 2).when(i < j, 0).otherwise(1)))
-    above = F.transform(seq(F.coalesce("up", F.lit(0))), lambda j: entry(name(band, i, band + 1, j), F.lit(0)))
-    below = F.transform(seq(F.coalesce("down", F.lit(0))), lambda j: entry(name(band - 1, j, band, i), F.lit(1)))
-    whole = F.array(entry(F.col("comp").cast("string"), F.lit(2)))
-    return wide.select("node", "comp", "n", F.when(F.col("m").isNull(), whole).otherwise(F.concat(own, above, below)).alias("tiles"))
+    own = F.transform(others("own"), lambda j: _entry(name(band, F.least(i, j), band, F.greatest(i, j)), F.when(j == i, 2).when(i < j, 0).otherwise(1)))
+    above = F.transform(others("up"), lambda j: _entry(name(band, i, band + 1, j), F.lit(0)))
+    below = F.transform(others("down"), lambda j: _entry(name(band - 1, j, band, i), F.lit(1)))
+    return wide.select("node", "root", F.concat(own, above, below).alias("tiles")).filter(F.size("tiles") > 0)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT, tile: int = TILE, first: int = FIRST, exact: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links), key, root.
 
     ``key`` tells rows that repeat an id but not the text apart.  ``root`` is one value for
     the rows of a component, also where components share an id; null for an empty set.
+    ``exact`` finds neighbourhoods by prefix keys, which can miss no link.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sketches = stage(rows.withColumn("key", doc_key(F.col("doc_id"), F.col("_text"))).mapInArrow(_sketch(size), "doc_id long, key long, hi long, lo long, n int, keys array<long>"), "join-sketches")
-    classes = sketches.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "join-nodes")
-
-    banded = nodes.select("node", F.explode("keys").alias("key"))
-    hubs = stage(banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("key", "hub"), "join-hubs")
-    near = banded.join(hubs, "key").filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    hoods = connected_components(near, "join-hoods")
-
-    members = nodes.select("node", "hi", "lo", "least", "n").join(hoods.select("node", F.col("root").alias("comp")), "node")
-    members = stage(members, "join-members")
-    placed = members.join(_tiles(members.select("node", "comp", "n"), percent, tile).select("node", "tiles"), "node").select("node", "hi", "lo", "least", "tiles")
-    texts = rows.join(placed, F.col("doc_id").eqNullSafe(F.col("least"))).select("_text", "node", "hi", "lo", "tiles")
-    sets = texts.mapInArrow(_sets_of_nodes(size), "node long, tiles array<struct<tile:string,side:int>>, data binary")
-    dealt = sets.select("node", "data", F.explode("tiles").alias("t")).select(F.col("t.tile").alias("tile"), F.col("t.side").alias("side"), "node", "data")
-    forest = dealt.repartition("tile").sortWithinPartitions("tile", "node").mapInArrow(_link(percent), "a long, b long")
-    linked = connected_components(forest, "join-links")
-
-    least = stage(linked.join(nodes.select("node", "least"), "node"), "join-linked")
-    named = stage(least.groupBy("root").agg(F.min("least").alias("component_id")), "join-named")
-    known = stage(least.select("node", "root").join(named, "root").select("node", "root", "component_id"), "join-known")
-    found = stage(nodes.select("node", "hi", "lo", "least").join(known, "node", "left").select("hi", "lo", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("root")), "join-classes")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("key", doc_key(F.col("doc_id"), F.col("_text")))
+    sketches = stage(in_arrow(rows, _sketch(size, percent, exact), "doc_id long, key long, hi long, lo long, n int, keys array<long>"), "join-sketches")
+    n, n_keys = sketches.count(), 64 if exact else n_bands(percent)
+    row_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))  # an id where there is one, the least
+    classes = sketches.filter("n > 0").groupBy("hi", "lo").agg(row_of.alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    nodes = stage(classes.select("hi", "lo", F.col("row.doc_id").alias("least"), F.col("row.key").alias("key"), "n", "keys").withColumn("node", F.monotonically_increasing_id()), "join-nodes", rows=n, width=40 + 8 * n_keys)
+
+    keyed = nodes.select("node", F.explode("keys").alias("k"))
+    hubs = stage(keyed.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("k", "hub"), "join-hubs", rows=n * n_keys // 4)
+    hoods = connected_components(star_edges(keyed.join(hubs, "k").select("node", "hub"), "node", "hub"), "join-hoods", 2 * n)
+    unstage(hubs)
+
+    members = stage(nodes.select("node", "hi", "lo", "least", "key", "n").join(hoods.select("node", F.col("root").alias("comp")), "node"), "join-members", rows=n, width=64)
+    unstage(hoods)
+    wide = members.groupBy("comp").agg(F.sum("n").alias("volume")).filter(F.col("volume") > first).select("comp")
+
+    own = members.select("node", "hi", "lo", "key", F.col("least").alias("_least"))
+    texts = rows.join(own, (rows["key"] == own["key"]) & F.col("doc_id").eqNullSafe(F.col("_least"))).select("_text", "node", "hi", "lo")
+    sets = stage(in_arrow(texts, _sets_of_nodes(size), "node long, data binary"), "join-sets")
+
+    def forest(placed: DataFrame) -> DataFrame:
+        """Links in the tiles of (node, root, tiles)."""
+        dealt = sets.join(placed, "node").select("node", "root", "data", F.explode("tiles").alias("t")).select("t.tile", "t.side", "node", "root", "data")
+        return stage(in_arrow(dealt.repartition("tile").sortWithinPartitions("tile", "node"), _link(percent), "a long, b long"), "join-forest")
+
+    links = forest(_first_tiles(members.select("node", "comp", "n"), wide, percent, first))
+    linked = connected_components(links, "join-links", n)
+    whole = members.select("node", "comp", "n").join(wide, "comp", "left_semi").join(linked, "node", "left").select("node", "comp", "n", F.coalesce("root", "node").alias("root"))
+    parted = whole.groupBy("comp", "root").agg(F.sum("n").alias("volume")).groupBy("comp").agg(F.max(F.struct("volume", "root")).alias("top"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("roots"))
+    parted = stage(parted.filter("roots > 1").select("comp", F.col("top.root").alias("top"), (F.col("volume") - F.col("top.volume")).alias("rest")), "join-parted", rows=n)
+    if not parted.isEmpty():
+        apart = stage(whole.join(parted, "comp").select("node", "comp", "n", "root", (F.col("root") == F.col("top")).alias("main"), "rest"), "join-apart", rows=n, width=48)
+        linked = connected_components(links.unionByName(forest(_rest_tiles(apart, percent, tile, first))), "join-links", n)
+
+    least = stage(linked.join(nodes.select("node", "least"), "node"), "join-linked", rows=n)
+    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = least.select("node", "root").join(named, "root")
+    found = nodes.select("node", "hi", "lo", "least").join(known, "node", "left").select("hi", "lo", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("root"))
+    found = stage(found, "join-classes", rows=n, width=40)
+    unstage(least, links, linked, nodes, sets)
     out = sketches.select("doc_id", "key", "hi", "lo", F.col("n").cast("long").alias("n_shingles")).join(found, ["hi", "lo"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "root")
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with their columns, whose id names their component: one of each.
 
     Of rows that repeat an id one stays for each component: linked rows are one document,
     others aren't.  Rows without words are copies only if they repeat a row.  Rows without an
     id in a component that has no id can't be told apart, and stay.
     """
-    found = jaccard_components(docs, id_col, text_col)
-    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_g_id"), F.col("key").alias("_g_key")).distinct()
-    own = docs.withColumn("_o_key", doc_key(F.col(id_col).cast("bigint"), F.col(text_col)))
-    left = own.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("_g_id")) & (F.col("_o_key") == F.col("_g_key")), "left_anti")
-    repeats = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_r")).count().filter("count > 1")
+    found = jaccard_components(docs, id_col, text_col, size, percent)
+    own_key, own_id, g_id, g_key, root, place = unused(docs, "key", "id", "g_id", "g_key", "root", "place")
+    gone = found.filter(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(g_id), F.col("key").alias(g_key)).distinct()
+    own = docs.withColumns({own_id: F.col(id_col).cast("bigint"), own_key: doc_key(F.col(id_col).cast("bigint"), F.col(text_col))})
+    left = own.join(gone, F.col(own_id).eqNullSafe(F.col(g_id)) & (F.col(own_key) == F.col(g_key)), "left_anti")
+    repeats = docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias(g_id)).count().filter("count > 1")
     if not repeats.isEmpty():
-        of_row = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_c_id"), F.col("key").alias("_c_key"), F.col("root").alias("_c_root")).distinct()
-        known = left.filter(F.col(id_col).isNotNull()).join(of_row, (F.col(id_col).cast("bigint") == F.col("_c_id")) & (F.col("_o_key") == F.col("_c_key")))
-        own_text = F.when(F.col("_c_root").isNull(), F.col("_o_key"))
-        place = F.row_number().over(Window.partitionBy("_c_id", "_c_root", own_text).orderBy("_o_key"))
-        known = known.withColumn("_place", place).filter("_place = 1").select(left.columns)
-        left = known.unionByName(left.filter(F.col(id_col).isNull()))
-    return left.drop("_o_key")
+        of_row = found.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(g_id), F.col("key").alias(g_key), F.col("root").alias(root)).distinct()
+        known = left.filter(F.col(own_id).isNotNull()).join(of_row, (F.col(own_id) == F.col(g_id)) & (F.col(own_key) == F.col(g_key)))
+        own_text = F.when(F.col(root).isNull(), F.col(own_key))
+        known = known.withColumn(place, F.row_number().over(Window.partitionBy(own_id, root, own_text).orderBy(own_key))).filter(F.col(place) == 1).drop(place, root, g_id, g_key)
+        left = known.unionByName(left.filter(F.col(own_id).isNull()))
+    return left.drop(own_id, own_key)
