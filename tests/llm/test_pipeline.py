@@ -17,7 +17,7 @@ def test_stages_by_plain_versions(spark, sf):
     rows = [r for r, lang, s in zip(rows, langs, scores, strict=True) if lang != "und" and s >= corpus_pipeline.LEAST_KNOWN]
     keep = {k for _, k, _, _ in brute.exact(rows)[0]}
     rows = [r for r in rows if r[0] in keep]
-    keep = {i for i, _, c in brute.near(rows) if i == c}
+    keep = {i for i, _, c in brute.near(rows, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT) if i == c}
     rows = [r for r in rows if r[0] in keep]
     bad = {i for i, _, _, _, contaminated in brute.contamination(rows, items) if contaminated}
     want = {i: t for i, t in rows if i not in bad}

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_arrow
 from tidewell.llm.words import hashed_words, parts
 from tidewell.plans.staging import stage
 
@@ -154,7 +155,7 @@ def learn(docs: DataFrame, text_col: str = "text", vocabulary: int | None = None
     if vocabulary is None:
         return Unigrams(None, np.empty(0, np.int64))
     rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    counted = stage(rows.mapInArrow(_count_words, "kind int, a long, n long").groupBy("kind", "a").agg(F.sum("n").alias("n")), "backoff-words")
+    counted = stage(in_arrow(rows, _count_words, "kind int, a long, n long").groupBy("kind", "a").agg(F.sum("n").alias("n")), "backoff-words")
     sums = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     tokens, starts = sums.get(0, 0), sums.get(1, 0)
     words = counted.filter((F.col("kind") == 0) & (F.col("n") * vocabulary >= tokens)).select("a", "n").toArrow()  # at most ``vocabulary``
@@ -181,7 +182,7 @@ def score(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: st
             sums = [base + number, len(codes), int((per_text > 0).sum()), len(words)]
             yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in sums), pa.array([data], pa.binary())], ["base", "tokens", "starts", "words", "data"])
 
-    coded = stage(rows.mapInArrow(code, "base long, tokens long, starts long, words long, data binary"), "backoff-coded")
+    coded = stage(in_arrow(rows, code, "base long, tokens long, starts long, words long, data binary"), "backoff-coded")
     tokens, starts, words = (x or 0 for x in coded.agg(F.sum("tokens"), F.sum("starts"), F.sum("words")).first())
     tiles = max(1, -(-(tokens + words) // tile))
 
@@ -249,7 +250,7 @@ def score(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: st
             yield done()
 
     kind = "tile long, base long, data binary"
-    dealt = coded.select("base", "data").mapInArrow(deal, kind)
-    summed = dealt.repartition("tile").sortWithinPartitions("tile", "base").mapInArrow(add, kind)
+    dealt = in_arrow(coded.select("base", "data"), deal, kind)
+    summed = in_arrow(dealt.repartition("tile").sortWithinPartitions("tile", "base"), add, kind)
     whole = coded.select(F.lit(-1).cast("long").alias("tile"), "base", "data").unionByName(summed)
-    return whole.repartition("base").sortWithinPartitions("base", "tile").mapInArrow(rate, "doc_id long, n_words long, score double")
+    return in_arrow(whole.repartition("base").sortWithinPartitions("base", "tile"), rate, "doc_id long, n_words long, score double")

@@ -10,7 +10,8 @@ their ancestors, which is logarithmic in the piece's length.
 short pieces side by side on numpy arrays, one tree per row.  Both give what the
 tiktoken library gives for the same ranks and pattern.
 
-A Python worker keeps the pieces it has met in a cache of at most ``CACHE`` entries.
+A Python worker keeps the pieces of up to ``SHORT`` bytes that it has met in a cache of
+about ``CACHE`` entries at most.
 
 Defined results: a null text is empty and has no ids; special-token strings are
 ordinary text; rows that repeat an id are encoded each for itself; other columns are
@@ -30,9 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_arrow
+
 #: Pieces that one Python worker remembers (about 200 bytes each).
-CACHE = 400_000
-#: Bytes up to which pieces are merged side by side.
+CACHE = 200_000
+#: Characters of texts that are encoded at a time.
+CHARS = 500_000
+#: Bytes up to which pieces are merged side by side, and remembered.
 SHORT = 64
 _NONE = np.int64(1) << 60
 
@@ -175,9 +180,13 @@ class ByteBPE:
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = list({p for pieces in split for p in pieces} - self.cache.keys())
-        self.cache.update(zip(new, self.encode_pieces([p.encode() for p in new]), strict=True))
-        get = self.cache.__getitem__
-        return [list(chain.from_iterable(map(get, pieces))) for pieces in split]
+        coded = [p.encode() for p in new]
+        known, long = self.cache, {}
+        for piece, raw, ids in zip(new, coded, self.encode_pieces(coded), strict=True):
+            (known if len(raw) <= SHORT else long)[piece] = ids
+        if not long:
+            return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
+        return [list(chain.from_iterable(known[p] if p in known else long[p] for p in pieces)) for pieces in split]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -208,7 +217,7 @@ def _runs(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBPE, both: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in _runs(pc.utf8_length(batch["_text"]).to_pylist(), 2_000_000):
+        for a, b in _runs(pc.utf8_length(batch["_text"]).to_pylist(), CHARS):
             got = bpe.encode_texts(batch["_text"].slice(a, b - a).to_pylist())
             offsets = np.cumsum([0, *map(len, got)])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.fromiter(chain.from_iterable(got), np.int32, offsets[-1])))
@@ -223,7 +232,7 @@ def _encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str, text_col:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _encoded(batches, codec(shared.value, pattern), both)
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>{', decoded binary' if both else ''}")
+    return in_arrow(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>{', decoded binary' if both else ''}")
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,4 +260,4 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), part, texts], ["doc_id", "ids", "decoded"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(work, f"doc_id {kind}, ids array<int>, decoded binary")
+    return in_arrow(encoded.select("doc_id", "ids"), work, f"doc_id {kind}, ids array<int>, decoded binary")

@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_arrow
+
 SAMPLE_ROWS, SAMPLE_LINES = 6_000, 200_000
 STEPS = 120
 #: Probability of label 1 for a text without lines.
@@ -195,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "do
 
     kept: list[tuple[int, np.ndarray, np.ndarray]] = []
     lines = 0
-    for row in rows.select("_text", "_label").mapInArrow(work, "label int, bins binary, lengths binary").toLocalIterator():
+    for row in in_arrow(rows.select("_text", "_label"), work, "label int, bins binary, lengths binary").toLocalIterator():
         bins = np.frombuffer(row["bins"], np.int8).reshape(-1, len(BINS))
         if lines + len(bins) <= SAMPLE_LINES:
             kept.append((row["label"], bins, np.frombuffer(row["lengths"], "<i4")))
@@ -223,4 +225,4 @@ def score(docs: DataFrame, model: LineCRF, id_col: str = "doc_id", text_col: str
                     part = batch.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(model.score(part["_text"].to_pylist()))], ["doc_id", "score"])
 
-    return rows.mapInArrow(work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
+    return in_arrow(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_arrow
 from tidewell.plans.staging import stage
 
 MARKS = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
@@ -94,7 +95,7 @@ def link_quotations(messages: DataFrame, conv_col: str = "conv_id", turn_col: st
     """(messages, links): messages parsed, and a row for each quoted line with the turn it comes from (``source``, null if unknown)."""
     rows = messages.select(F.coalesce(F.col(conv_col).cast("bigint"), F.lit(_LEAST)).alias("conv_id"), F.coalesce(F.col(turn_col).cast("bigint"), F.lit(_LEAST)).alias("turn"), F.col(role_col).cast("string").alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kind = "conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<passage:int,level:int,hash:long,chars:int>>"
-    parsed = stage(rows.mapInArrow(_parse_rows, kind), "quotes-messages")
+    parsed = stage(in_arrow(rows, _parse_rows, kind), "quotes-messages")
     quotes = parsed.filter(F.size("quoted") > 0).select("conv_id", "turn", F.explode("quoted").alias("q")).select("conv_id", "turn", "q.*").distinct()
     quotes = stage(quotes, "quotes-lines")
     # Only lines that are quoted somewhere in their conversation matter as originals.
@@ -133,7 +134,7 @@ def _with_segments(rows: DataFrame) -> DataFrame:
     """
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     ordered = rows.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn")
-    filled = stage(ordered.mapInArrow(_forward_fill, f"{kind}, seg long, leads boolean, part int"), "quotes-segments")
+    filled = stage(in_arrow(ordered, _forward_fill, f"{kind}, seg long, leads boolean, part int"), "quotes-segments")
     ends = filled.groupBy("part").agg(F.min("conv_id").alias("first"), F.max(F.struct("conv_id", "turn", "seg")).alias("end"))  # a row for each task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     open_end = F.when(F.col("end.seg").isNotNull(), F.struct(F.col("end.conv_id").alias("conv_id"), F.col("end.seg").alias("seg")))

@@ -44,6 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import in_arrow
 from tidewell.plans.staging import stage
 
 BLOCK = 1 << 16
@@ -254,7 +255,7 @@ def write_shards(docs: DataFrame, model: bytes, end_id: int, id_col: str = "doc_
         if keys:
             yield shard()
 
-    written = stage(ordered.mapInArrow(work, "part int, seq int, n_docs int, n_ids long, data binary"), "token-shards")
+    written = stage(in_arrow(ordered, work, "part int, seq int, n_docs int, n_ids long, data binary"), "token-shards")
     parts = written.groupBy("part").agg(F.sum("n_ids").alias("_n"))  # one row for each task of the writer
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -280,7 +281,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     at = start + np.concatenate([[lo], ends[a : b - 1]])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(at.astype(np.int64)), pa.array(lengths[a:b].astype(np.int64)), raw], ["doc_id", "start", "n_tokens", "ids"])
 
-    return shards.select("start", "data").mapInArrow(work, "doc_id long, start long, n_tokens long, ids binary")
+    return in_arrow(shards.select("start", "data"), work, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _blocks(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
