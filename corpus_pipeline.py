@@ -2,9 +2,15 @@
 
 language       rejects texts without letters and texts whose n-grams are mostly in no learned language
 exact          keeps one of equal texts
-near           keeps one document of each component of near-duplicates
+near           keeps one document of each component of near-duplicates: five-word shingles, a similarity of 0.8 or more
 decontaminate  drops documents that the benchmark contaminates
 encode         gives the remaining documents' token ids and checks that they decode to the text
+
+Defined results: a null, empty or letterless text is rejected by the first stage; of rows
+that repeat an id and a text one stays; rows that share an id with different texts are
+judged each for itself, and of those in one component of near-duplicates one stays; a null
+id goes only with its component; an empty table gives an empty result; documents may have
+any other columns, whatever their names, and all stages but the last return them.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from tidewell.plans.staging import stage
 
 #: Share of a text's n-grams that must be in its language.  Running prose has over 0.9, short or mixed texts over 0.5.
 LEAST_KNOWN = 0.2
+#: Words of a shingle and least similarity in percent of near-duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +39,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.keep_one_of_each(docs)
+    return ngram_join.keep_one_of_each(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
