@@ -399,58 +399,104 @@ def test_backoff_query_sql(spark, sf, same_rows):
 # ---- quotation linking
 
 
+def plain_links(rows):
+    """{(conv, turn, level, whole text): source} and {(conv, turn): reply_to} of messages with distinct turns, by searching."""
+    links, reply, confirmed = {}, {}, set()
+    for conv in {r[0] for r in rows}:
+        parsed = {r[1]: quotes.parse(r[3] or "") for r in rows if r[0] == conv}
+        own = {t: {text for _, text in quotes.units(lines)} for t, (_, lines, _) in parsed.items()}
+        quoted = {t: {(level, text) for _, level, lines in ps for kind, text in quotes.units(lines) if kind == quotes.WHOLE} for t, (_, _, ps) in parsed.items()}
+
+        def source(lines, bound):
+            for kind in (quotes.WHOLE, quotes.PARAGRAPH, quotes.PART):
+                votes = collections.Counter()
+                for k, text in quotes.units(lines):
+                    before = [t for t in own if t < bound and text in own[t]]
+                    if k == kind and before:
+                        votes[max(before)] += len(text)
+                if votes:
+                    return max(votes, key=lambda t: (votes[t], t))
+            return None
+
+        for turn, (_, _, passages) in parsed.items():
+            votes = collections.Counter()
+            for level in (1, 2):
+                for _, k, lines in passages:
+                    if min(k, 2) == level:
+                        found, whole = source(lines, turn if k == 1 else reply.get((conv, turn)) or turn), quotes.units(lines)[0][1]
+                        links[conv, turn, k, whole] = found
+                        if k == 1 and found is not None:
+                            votes[found] += len(whole)
+                        if k > 1 and (k - 1, whole) in quoted.get(reply.get((conv, turn)), ()):
+                            confirmed.add((conv, turn, k, whole))
+                reply[conv, turn] = max(votes, key=lambda t: (votes[t], t)) if votes else None
+    return links, reply, confirmed
+
+
 def plain_order(rows):
     """{(conv, turn): (reply_to, place)} by a depth-first walk."""
-    out = {}
+    out, reply = {}, plain_links(rows)[1]
     for conv in {r[0] for r in rows}:
-        own = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
-        first, reply = {}, {}
-        parsed = {r[1]: quotes.parse(r[3] or "") for r in own}
-        for turn, (_, lines, quoted) in parsed.items():
-            votes = collections.Counter()
-            for passage_level_line in {q for q in quoted}:
-                _, level, line = passage_level_line
-                if level == 1 and line in first:
-                    votes[first[line]] += len(line)
-            reply[turn] = max(votes, key=lambda t: (votes[t], t)) if votes else None
-            for line in lines:
-                first.setdefault(line, turn)
-        turns = [r[1] for r in own]
+        turns = sorted(r[1] for r in rows if r[0] == conv)
         children = collections.defaultdict(list)
         for k, t in enumerate(turns[1:], 1):
-            children[reply[t] if reply[t] is not None else turns[k - 1]].append(t)
+            to = reply[conv, t]
+            children[to if to is not None else turns[k - 1]].append(t)
         stack, place = [turns[0]], 0
         while stack:
             t = stack.pop()
-            out[conv, t] = (reply[t], place)
+            out[conv, t] = (reply[conv, t], place)
             place += 1
             stack += sorted(children[t], reverse=True)
     return out
 
 
 def test_parse():
-    text, own, quoted = quotes.parse("Hi\n\nOn Monday Ada wrote:\n> first *line*\n>> deeper\n> > also deep\nanswer")
-    assert text == "Hi\n\nanswer" and own == ["hi", "answer"]
-    assert [(p, k, x) for p, k, x in quoted] == [(0, 1, "first *line"), (1, 2, "deeper"), (1, 2, "also deep")]
-    assert quotes.parse("a > b")[2] == [] and quotes.parse("")[0] == ""
+    text, own, quoted = quotes.parse("Hi\n\nOn Monday Ada wrote:\n> first *line*\n> \n> more\n>> deeper\n> > also deep\nanswer")
+    assert text == "Hi\n\nanswer" and own == ["Hi", "", "", "", "answer"]
+    assert quoted == [(0, 1, ["first *line*", "", "more"]), (1, 2, ["deeper", "also deep"])]
+    assert quotes.units(quoted[0][2]) == [(0, "first *line* more"), (1, "first *line"), (2, "first *line"), (1, "more"), (2, "more")]
+    assert quotes.parse("a > b")[2] == [] and quotes.parse("")[0] == "" and quotes.parse("> \n> !!")[2] == []
 
 
-def test_reply_order_random(spark):
-    rng = random.Random(8)
+def random_conversations(rng, convs, most):
+    """Messages that quote whole texts, paragraphs or sentences, rewrapped and nested, and common short lines."""
     rows = []
-    for conv in range(6):
+    for conv in range(convs):
         said = []
-        for turn in range(rng.randint(1, 25)):
-            line = f"line {conv} {turn} {rng.randint(0, 3)}"
-            text = line
-            if said and rng.random() < 0.5:
-                text = f"> {rng.choice(said).upper()}\n{'>> deep' if rng.random() < 0.3 else ''}\n{line}"
-            said.append(line)
-            rows.append((conv, turn, "user", text, 1))
+        for turn in range(rng.randint(1, most)):
+            own = [" ".join(f"w{rng.randint(0, 30)}" for _ in range(rng.randint(2, 12))) + rng.choice([".", "!", ""]) for _ in range(rng.randint(1, 3))]
+            if rng.random() < 0.4:
+                own.insert(rng.randint(0, len(own)), rng.choice(["thanks", "Thanks!", "ok"]))
+            head = []
+            if said and rng.random() < 0.6:
+                old, quotation = rng.choice(said)
+                taken = old if rng.random() < 0.5 else [rng.choice(old)]
+                words = "\n\n".join(taken).upper() if rng.random() < 0.5 else "\n".join(taken)
+                if rng.random() < 0.4:  # rewrapped
+                    words = words.replace(" ", "\n", 1)
+                head = ["> " + x for x in words.split("\n")]
+                if quotation and rng.random() < 0.6:
+                    head = [("> " if x[0] != ">" else ">") + x for x in quotation] + head
+            elif rng.random() < 0.3:
+                head = [f"> nobody said {turn}", "> at all"]
+            said.append((own, head))
+            body = (rng.choice(["\n\n", "\n"])).join(own)
+            rows.append((conv, turn, "user", "\n".join([*head, body] if rng.random() < 0.7 else [body, *head]), 1))
+    return rows
+
+
+def test_reply_order_random(spark):
+    rng = random.Random(8)
+    rows = random_conversations(rng, 8, 25)
     rng.shuffle(rows)
-    out = quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seg int").repartition(5))
-    want = plain_order(rows)
-    got = collections.defaultdict(list)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seg int").repartition(5)
+    want, (links, _, confirmed) = plain_order(rows), plain_links(rows)
+    assert len({k for *_, k, _ in links}) > 2 and any(v is None for v in links.values()) and confirmed
+    found = quotes.link_quotations(df)[1].collect()
+    codes = {(*key[:3], *quotes._code(key[3])): (v, key in confirmed) for key, v in links.items()}
+    assert {(r.conv_id, r.turn, r.level, r.hi, r.lo): (r.source, bool(r.confirmed)) for r in found} == codes
+    out, got = quotes.reply_order(df), collections.defaultdict(list)
     for r in out.orderBy("conv_id", "order_key").collect():
         assert r.reply_to == want[r.conv_id, r.turn][0] and ">" not in r.text
         got[r.conv_id].append(r.turn)
@@ -458,6 +504,36 @@ def test_reply_order_random(spark):
         assert turns == sorted(turns, key=lambda t: want[conv, t][1])
 
 
+def test_a_deep_thread_takes_few_rounds(spark, monkeypatch):
+    """Each message quotes the one two before it, so that every one begins a branch."""
+    rows = [(7, t, "user", f"message number {t}" if t < 2 else f"> message number {t - 2}\nmessage number {t}") for t in range(2000)]
+    rows += [(8, t, "user", "thanks" if t % 2 else "> thanks\nwell") for t in range(400)]
+    rounds = []
+    monkeypatch.setattr(quotes, "stage", lambda df, tag, f=quotes.stage, **more: rounds.append(tag) or f(df, tag, **more))
+    out = quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "order_key").collect()
+    assert rounds.count("quotes-arcs") <= 14
+    want = plain_order(rows)
+    assert [(r.conv_id, r.turn) for r in out] == sorted(want, key=lambda k: (k[0], want[k][1]))
+    assert all(r.reply_to == want[r.conv_id, r.turn][0] for r in out)
+
+
+def test_carried_over_partitions(spark):
+    rng = random.Random(12)
+    rows = [(rng.randint(0, 3), k, rng.choice([None, None, None, None, k * 10])) for k in range(3000)] + [(9, k, 5 if k == 0 else None) for k in range(2000)]
+    want, last = {}, {}
+    for g, k, v in sorted(rows, key=lambda r: r[:2]):
+        want[g, k] = last.get(g)
+        last[g] = v if v is not None else last.get(g)
+    df = spark.createDataFrame(rows, "g long, k long, v long").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = quotes.carried(df, ["g"], ["k"], df["v"], "x").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert {(r.g, r.k): r.x for r in got} == want
+
+
 def test_reply_order_odd(spark):
     rows = [(1, 0, "user", None), (None, None, "user", "x"), (2, 1, "a", "> unknown"), (2, 1, "a", "> unknown"), (2, None, None, ""), (3, 0, "u", "> " * 5 + "x\n" * 3000)]
     out = quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))

@@ -29,8 +29,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = reply_order(table(spark, sf_dir, "conversations"))
-    place = F.transform("order_key.path", lambda p: F.concat_ws("/", -p["back"], p["start"]))
-    return out.select("conv_id", "turn", "role", "text", "reply_to", "n_quoted", "n_linked", F.array_join(place, ",").alias("thread_path"))
+    return out.select("conv_id", "turn", "role", "text", "reply_to", "n_quoted", "n_linked", "n_confirmed", F.col("order_key.branch").alias("branch"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
