@@ -129,10 +129,21 @@ def _held(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``CHARS`` characters and at most ``DOCS`` documents, whatever Arrow's are."""
+    held: list[pa.RecordBatch] = []
+    size = rows = 0
     for batch in batches:
         for part in parts(batch, "_text", CHARS):
             for a in range(0, len(part), DOCS):
-                yield part.slice(a, DOCS)
+                piece = part.slice(a, DOCS)
+                more = piece["_text"].nbytes
+                if held and (size + more > CHARS or rows + len(piece) > DOCS):
+                    yield pa.concat_batches(held)
+                    held, size, rows = [], 0, 0
+                held.append(piece)
+                size, rows = size + more, rows + len(piece)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

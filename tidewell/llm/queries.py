@@ -106,20 +106,16 @@ def oracle_sql() -> dict[str, str]:
                 SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
             ), t AS (
                 SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS pos FROM w
-            ), c AS (
-                SELECT word, count(*) AS n FROM t GROUP BY word
-            ), v AS (
-                SELECT word, CASE WHEN n * 1048576 >= (SELECT count(*) FROM t) THEN word ELSE ' unknown' END AS known, n FROM c
             ), u AS (
-                SELECT known, sum(n) AS n FROM v GROUP BY known
+                SELECT word, count(*) AS n FROM t GROUP BY word
             ), k AS (
-                SELECT doc_id, pos, known AS w2, coalesce(lag(known) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS w1 FROM t JOIN v USING (word)
+                SELECT doc_id, pos, word AS w2, coalesce(lag(word) OVER (PARTITION BY doc_id ORDER BY pos), ' start') AS w1 FROM t
             ), b AS (
                 SELECT w1, w2, count(*) AS n FROM k GROUP BY w1, w2
             ), s AS (
                 SELECT b.w1, b.w2, CAST(round(ln(CASE WHEN b.n >= 2 THEN b.n / CAST(coalesce(u1.n, (SELECT count(*) FROM w WHERE len(ws) > 0)) AS DOUBLE)
                        ELSE 0.4::DOUBLE * u2.n / (SELECT count(*) FROM t) END) * 1000000) AS BIGINT) AS micro
-                FROM b LEFT JOIN u u1 ON b.w1 = u1.known JOIN u u2 ON b.w2 = u2.known
+                FROM b LEFT JOIN u u1 ON b.w1 = u1.word JOIN u u2 ON b.w2 = u2.word
             ), d AS (
                 SELECT k.doc_id, count(*) AS n_words, CAST(sum(s.micro) AS BIGINT) AS micro FROM k JOIN s ON k.w1 = s.w1 AND k.w2 = s.w2 GROUP BY k.doc_id
             )
