@@ -305,7 +305,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = stage(classes.select("hi", "lo", F.col("row.doc_id").alias("least"), F.col("row.key").alias("key"), "n", "keys").withColumn("node", F.monotonically_increasing_id()), "join-nodes", rows=n, width=40 + 8 * n_keys)
 
     keyed = nodes.select("node", F.explode("keys").alias("k"))
-    hubs = stage(keyed.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("k", "hub"), "join-hubs", rows=n * n_keys // 4)
+    hubs = stage(keyed.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("k", "hub"), "join-hubs", rows=n * n_keys // 2)
     hoods = connected_components(star_edges(keyed.join(hubs, "k").select("node", "hub"), "node", "hub"), "join-hoods", 2 * n)
     unstage(hubs)
 
