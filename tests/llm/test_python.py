@@ -278,6 +278,42 @@ def test_grams_by_hand():
     assert some.tolist() == [True, False, True, True] and a[owner == 0].tolist() == a[owner == 2].tolist() != a[owner == 3].tolist()
 
 
+def test_language_query_by_plain_sets(spark, sf):
+    """The same rule with n-grams as strings in sets of each language: a Bloom filter may only blur the shares a little."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()
+
+    def grams(text):
+        chars = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " "
+        chars = " ".join(chars.split())
+        chars = f" {chars} " if chars else ""
+        return [g for k in range(len(chars) - 3) if " " not in (g := chars[k : k + 4])[1:3]]
+
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts[r.lang].update(grams(r.text))
+    counts = {lang: {g: n for g, n in c.items() if n > 2} for lang, c in counts.items()}
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = collections.defaultdict(float)
+    for c in share.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    own = {lang: {g for g, x in c.items() if x >= langid.RELATIVE * most[g]} for lang, c in share.items()}
+    assert max(map(len, own.values())) <= langid.PER_LANGUAGE
+    got = {r.doc_id: r for r in queries()["op7_language"](spark, sf).collect()}
+    differ = 0
+    for r in rows:
+        found = grams(r.text)
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        hits = {lang: sum(g in s for g in found) / max(1, len(found)) for lang, s in own.items()}
+        best = max(sorted(hits), key=hits.get)
+        differ += got[r.doc_id].lang_pred != best
+        assert abs(got[r.doc_id].score - hits[got[r.doc_id].lang_pred]) <= 0.03
+    assert differ <= 0.01 * len(rows)
+
+
 def test_language_held_out(spark, sf, odd, none):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = queries()["op7_language"](spark, sf).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -334,13 +370,72 @@ def test_quality_held_out(spark, odd, none):
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     model = line_crf.LineCRF.blank()
     out = line_crf.score(odd, model).collect()
-    assert len(out) == odd.count() and all(r.score == line_crf.EMPTY for r in out if r.doc_id in (4, 5, 6))
+    assert len(out) == odd.count() and all(r.score == model.empty for r in out if r.doc_id in (4, 5, 6))
     assert line_crf.score(none, model).count() == 0
     from pyspark.sql import functions as F
 
     assert line_crf.learn(none, spark.createDataFrame([], "doc_id long, quality int"), may_learn(F.col("doc_id"))).slope == 1.0
 
 
+def plain_quality(text, model):
+    """The score of a text by counting, with the model's weights: features, forward-backward and the weighted mean line by line."""
+    lines = [x for x in (text or "").split("\n") if x.strip()]
+    if not lines:
+        return model.empty
+    seen, values = collections.Counter(), []
+    for line in lines:
+        raw, words = line.encode("utf-8"), line.split()
+        kinds = [sum(65 <= b <= 90 for b in raw), sum(48 <= b <= 57 for b in raw), sum(chr(b) in "#$%&*+/<=>@\\^_`{|}~" for b in raw), sum(chr(b) in "!?.,;:()[]-\"'" for b in raw), sum(b >= 128 for b in raw)]
+        adjacent = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        values.append([*(k / len(raw) for k in kinds), 1 - len(set(words)) / len(words), adjacent / len(words), (len(line) + 1) / len(words) - 1, len(words), seen[line]])
+        seen[line] += 1
+    bins = [[sum(v > e for e in edges) for v, edges in zip(row, line_crf.BINS.values(), strict=True)] for row in values]
+    block = len(line_crf.BINS) * 8 + 1
+
+    def weight(k):
+        total = 0.0
+        for part, j in ((0, k), (1, k - 1), (2, k + 1)):
+            if 0 <= j < len(bins):
+                total += sum(model.weights[part * block + f * 8 + b + 1] for f, b in enumerate(bins[j]))
+            else:
+                total += len(bins[0]) * model.weights[part * block]
+        return total
+
+    unary, n = [(0.0, weight(k)) for k in range(len(lines))], len(lines)
+    add = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b)))
+    forward, backward = [unary[0]], [(0.0, 0.0)] * n
+    for k in range(1, n):
+        forward.append(tuple(unary[k][y] + add(*(forward[-1][x] + model.pairs[x, y] for x in (0, 1))) for y in (0, 1)))
+    for k in range(n - 2, -1, -1):
+        backward[k] = tuple(add(*(unary[k + 1][y] + backward[k + 1][y] + model.pairs[x, y] for y in (0, 1))) for x in (0, 1))
+    good = [1 / (1 + math.exp(min(500, max(-500, f[0] + b[0] - f[1] - b[1])))) for f, b in zip(forward, backward, strict=True)]
+    quality = sum(g * len(x) for g, x in zip(good, lines, strict=True)) / sum(map(len, lines))
+    return 1 / (1 + math.exp(-(model.slope * math.log((quality + 1e-4) / (1 - quality + 1e-4)) + model.shift)))
+
+
+def test_quality_query_by_counting(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = line_crf.learn(docs, labels, may_learn(F.col("doc_id")))
+    again = line_crf.learn(docs.repartition(7), labels.repartition(3), may_learn(F.col("doc_id")))
+    assert (model.weights == again.weights).all() and (model.pairs == again.pairs).all() and (model.slope, model.shift, model.empty) == (again.slope, again.shift, again.empty)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries()["op4_quality"](spark, sf).collect():
+        assert abs(r.score - plain_quality(texts[r.doc_id], model)) < 1e-9
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7)
+
+
+def test_quality_of_empty_texts_is_learned(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, "good words here" if k % 2 else "#### @@@@ $$$$") for k in range(40)] + [(100 + k, " ") for k in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for label in (0, 1):
+        labels = spark.createDataFrame([(k, k % 2 if k < 100 else label) for k, _ in rows], "doc_id long, quality int")
+        assert (line_crf.learn(docs, labels, F.lit(True)).empty >= 0.7) == bool(label)
+
+
 # ---- stupid backoff
 
 

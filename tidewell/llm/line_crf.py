@@ -9,10 +9,11 @@ into the probability of label 1.
 
 There are no labels of lines: in learning, a line has its document's label.  The
 model is fitted on whole texts of at most about ``sample_rows`` labelled documents
-chosen by a hash of the id; their binned features (one byte each) come to the driver,
-and beyond ``SAMPLE_LINES`` lines no further documents are used for the fit.
+chosen by a hash of the id; in the order of that hash their binned features (one byte
+each) come to the driver, of each document whose lines still fit into ``SAMPLE_LINES``.
 
-Defined results: a null or blank text has no lines and gets the score of ``EMPTY``;
+Defined results: a null or blank text has no lines and gets the share of label 1 among
+learned texts without lines, which counts a text of surely bad lines beside them;
 rows that repeat an id are scored each for itself; a document labelled more than once
 counts with its least label; other columns are not looked at.
 """
@@ -29,11 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import in_arrow
+from tidewell.plans.staging import stage, unstage
 
 SAMPLE_ROWS, SAMPLE_LINES = 6_000, 200_000
 STEPS = 120
-#: Probability of label 1 for a text without lines.
-EMPTY = 0.0
 #: Upper edges of the bins of each feature: shares of characters of a class, then numbers of words and ratios.
 _SHARES = [0.0, 0.01, 0.03, 0.08, 0.15, 0.3, 0.5]
 BINS = {
@@ -103,6 +103,7 @@ class LineCRF:
     pairs: np.ndarray  # [before, after]
     slope: float = 1.0
     shift: float = 0.0
+    empty: float = 0.0  # probability of label 1 for a text without lines
 
     @classmethod
     def blank(cls) -> LineCRF:
@@ -165,8 +166,14 @@ class LineCRF:
             error = (labels - 1 / (1 + np.exp(-(a * x + b))))[has]
             a, b = a + 0.3 * ((error * x[has]).mean() if len(error) else 0), b + 0.3 * (error.mean() if len(error) else 0)
         self.slope, self.shift = float(a), float(b)
+        none = labels[~has]
+        self.empty = float((none.sum() + self._curve(np.zeros(1))[0]) / (len(none) + 1))
         return self
 
+    def _curve(self, quality: np.ndarray) -> np.ndarray:
+        x = np.log((quality + 1e-4) / (1 - quality + 1e-4))
+        return 1 / (1 + np.exp(-(self.slope * x + self.shift)))
+
     def quality(self, bins: np.ndarray, lengths: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the lines' marginals; nan where there are no lines."""
         good, _ = self.marginals(_neighbours(bins, per_text), per_text)
@@ -176,37 +183,34 @@ class LineCRF:
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         bins, lengths, per_text = line_features([t or "" for t in texts])
-        quality = self.quality(bins, lengths, per_text)
-        x = np.log((quality + 1e-4) / (1 - quality + 1e-4))
-        return np.where(per_text > 0, 1 / (1 + np.exp(-(self.slope * x + self.shift))), EMPTY)
+        return np.where(per_text > 0, self._curve(self.quality(bins, lengths, per_text)), self.empty)
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> LineCRF:
     """Fit on about ``sample_rows`` labelled documents that ``allowed`` admits (a condition on the id column)."""
     marked = labels.filter(allowed).filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label_col).cast("int")).alias("_label"))
     part = min(1.0, sample_rows / max(1, marked.count()))
-    few = marked.filter((F.xxhash64("_id") / F.lit(2.0**64) + 0.5) <= part)
+    few = marked.withColumn("_h", F.xxhash64("_id")).filter((F.col("_h") / F.lit(2.0**64) + 0.5) <= part)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id")  # about sample_rows ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch["_text"].to_pylist()
-            for text, label in zip(texts, batch["_label"].to_pylist(), strict=True):
-                bins, lengths, _ = line_features([text or ""])
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([bins.tobytes()]), pa.array([lengths.astype("<i4").tobytes()])], ["label", "bins", "lengths"])
+            for text, label, h in zip(batch["_text"], batch["_label"].to_pylist(), batch["_h"].to_pylist(), strict=True):
+                bins, lengths, _ = line_features([text.as_py() or ""])
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.int64()), pa.array([label], pa.int32()), pa.array([bins.tobytes()]), pa.array([lengths.astype("<i4").tobytes()])], ["h", "label", "bins", "lengths"])
 
     kept: list[tuple[int, np.ndarray, np.ndarray]] = []
     lines = 0
-    for row in in_arrow(rows.select("_text", "_label"), work, "label int, bins binary, lengths binary").toLocalIterator():
+    coded = stage(in_arrow(rows.select("_text", "_label", "_h"), work, "h long, label int, bins binary, lengths binary"), "crf-sample")
+    for row in coded.orderBy("h", F.length("bins"), "label", "bins", "lengths").toLocalIterator():
         bins = np.frombuffer(row["bins"], np.int8).reshape(-1, len(BINS))
         if lines + len(bins) <= SAMPLE_LINES:
             kept.append((row["label"], bins, np.frombuffer(row["lengths"], "<i4")))
             lines += len(bins)
+    unstage(coded)
     model = LineCRF.blank()
     if not kept:
         return model
-    # In an order that doesn't depend on how the table is dealt out.
-    kept.sort(key=lambda x: (len(x[1]), x[0], x[1].tobytes(), x[2].tobytes()))
     return model.fit(np.concatenate([x for _, x, _ in kept]), np.concatenate([x for _, _, x in kept]).astype(np.int64), np.array([len(x) for _, x, _ in kept]), np.array([x for x, _, _ in kept], float))
 
 
