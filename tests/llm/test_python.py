@@ -43,7 +43,7 @@ def test_bpe_is_the_librarys(bpe, text):
     assert ids == library.encode_ordinary(text) and own.decode(ids) == text.encode()
     piece = text.encode()[:90]
     if piece:
-        assert own.encode_piece(piece) == list(own.encode_pieces([piece])[0])
+        assert own.encode_piece(piece) == np.frombuffer(own.encode_pieces([piece])[0], "<i4").tolist()
 
 
 def test_bpe_frames(odd, odd_rows, none, bpe):

@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import in_arrow
 
-#: Pieces that one Python worker remembers (about 200 bytes each).
-CACHE = 200_000
+#: Pieces that one Python worker remembers (about 150 bytes each).
+CACHE = 400_000
 #: Characters of texts that are encoded at a time.
 CHARS = 500_000
 #: Bytes up to which pieces are merged side by side, and remembered.
@@ -62,7 +62,8 @@ class ByteBPE:
         self.pairs = {ranks[t[:i]] * self.width + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
         self.pair_keys = np.array(sorted(self.pairs), np.int64)
         self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        #: Ids of pieces as little-endian 32-bit integers.
+        self.cache: dict[str, bytes] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one piece."""
@@ -109,8 +110,8 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (right >= 0) & (left >= 0), self.pair_ranks[at], -1)
 
-    def _encode_rows(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
-        """Pieces of 2 to ``size`` bytes, ``size`` a power of two; a row and a tree for each."""
+    def _encode_rows(self, pieces: list[bytes], size: int) -> list[bytes]:
+        """Ids of pieces of 2 to ``size`` bytes, ``size`` a power of two; a row and a tree for each."""
         rows, lengths = len(pieces), np.array([len(p) for p in pieces])
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         live = np.arange(size) < lengths[:, None]
@@ -152,19 +153,19 @@ class ByteBPE:
             if len(has := np.flatnonzero(p >= 0)):
                 put(r[has], p[has], pair(r[has], p[has]))
             r = r[tree[r, 1] < _NONE]
-        kept, ends = ids[:, :size][live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
-        return [tuple(kept[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        kept, ends = ids[:, :size][live].astype("<i4").tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
+        return [kept[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of each piece."""
-        out: list[tuple[int, ...] | None] = [None] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece, as little-endian 32-bit integers."""
+        out: list[bytes | None] = [None] * len(pieces)
         groups: dict[int, list[int]] = {}
         for k, piece in enumerate(pieces):
             whole = self.ranks.get(piece)
             if whole is not None:
-                out[k] = (whole,)
+                out[k] = whole.to_bytes(4, "little")
             elif len(piece) > SHORT:
-                out[k] = tuple(self.encode_piece(piece))
+                out[k] = np.array(self.encode_piece(piece), "<i4").tobytes()
             else:
                 groups.setdefault(1 << (len(piece) - 1).bit_length(), []).append(k)
         for size, which in groups.items():
@@ -174,19 +175,27 @@ class ByteBPE:
                     out[k] = ids
         return out  # type: ignore[return-value]
 
-    def encode_texts(self, texts: Iterable[str]) -> list[list[int]]:
-        """Ids of each text; pieces that the cache lacks are merged together."""
+    def encode_flat(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has); pieces that the cache lacks are merged together."""
         split = [self.pattern.findall(t) for t in texts]
         if len(self.cache) > CACHE:
             self.cache.clear()
-        new = list({p for pieces in split for p in pieces} - self.cache.keys())
+        new = list(set().union(*split) - self.cache.keys())
         coded = [p.encode() for p in new]
         known, long = self.cache, {}
         for piece, raw, ids in zip(new, coded, self.encode_pieces(coded), strict=True):
             (known if len(raw) <= SHORT else long)[piece] = ids
-        if not long:
-            return [list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in split]
-        return [list(chain.from_iterable(known[p] if p in known else long[p] for p in pieces)) for pieces in split]
+        if long:
+            own = [b"".join([known[p] if p in known else long[p] for p in pieces]) for pieces in split]
+        else:
+            own = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        return np.frombuffer(b"".join(own), "<i4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
+
+    def encode_texts(self, texts: Iterable[str]) -> list[list[int]]:
+        """Ids of each text."""
+        flat, counts = self.encode_flat(texts)
+        ends = np.cumsum(counts).tolist()
+        return [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -218,10 +227,13 @@ def _runs(lengths: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBPE, both: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in _runs(pc.utf8_length(batch["_text"]).to_pylist(), CHARS):
-            got = bpe.encode_texts(batch["_text"].slice(a, b - a).to_pylist())
-            offsets = np.cumsum([0, *map(len, got)])
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.fromiter(chain.from_iterable(got), np.int32, offsets[-1])))
-            more = [pa.array([bpe.decode(x) for x in got], pa.binary())] if both else []
+            flat, counts = bpe.encode_flat(batch["_text"].slice(a, b - a).to_pylist())
+            ends = np.cumsum(counts)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+            more = []
+            if both:
+                each, cuts = flat.tolist(), ends.tolist()
+                more = [pa.array([bpe.decode(each[x:y]) for x, y in zip([0, *cuts], cuts, strict=False)], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), ids, *more], ["doc_id", "ids", "decoded"][: 2 + both])
 
 
