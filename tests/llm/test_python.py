@@ -96,7 +96,7 @@ def test_word_encoder_with_a_small_cache(monkeypatch):
     library, own = Tokenizer.from_str(model.decode()), token_shards.WordEncoder(model)
     monkeypatch.setattr(token_shards, "CACHE", 20)
     rng = random.Random(1)
-    texts = ["".join(rng.choices("abcdXYZ éßİıǅ'.,;!?<|>019\t\n中Σςσ́\x85-_*", k=rng.randint(0, 50))) for _ in range(300)] + ["<|ENDOFTEXT|> a<|endoftext|>b", "don't we'll x's."]
+    texts = ["".join(rng.choices("abcdXYZ éßİıǅ'.,;!?<|>019\t\n中Σςσ́\x85-_*", k=rng.randint(0, 50))) for _ in range(300)] + ["<|ENDOFTEXT|> a<|endoftext|>b", "don't we'll x's.", "a\x01b \x01 c \x01\x01", "</w> x</w>y", "naïve straße œuvre ĳ ſ", "x" * 500 + " " + "é" * 300 + "!?"]
     for a in range(0, len(texts), 50):
         lengths, ids = own.encode(pa.array(texts[a : a + 50]), 2)
         at = 0

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import in_arrow
-from tidewell.llm.words import hashed_words, parts
+from tidewell.llm.words import gathered, hashed_words
 from tidewell.plans.staging import stage
 
 ALPHA, MIN_COUNT, UNIT = 0.4, 2, 1_000_000
@@ -128,27 +128,9 @@ def _held(data: bytes) -> tuple[np.ndarray, ...]:
     return ids, null, per_text, unpack(data[16 + a + b :], 1)[0], unpack(data[16 + a : 16 + a + b], 2)[1]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about ``CHARS`` characters and at most ``DOCS`` documents, whatever Arrow's are."""
-    held: list[pa.RecordBatch] = []
-    size = rows = 0
-    for batch in batches:
-        for part in parts(batch, "_text", CHARS):
-            for a in range(0, len(part), DOCS):
-                piece = part.slice(a, DOCS)
-                more = piece["_text"].nbytes
-                if held and (size + more > CHARS or rows + len(piece) > DOCS):
-                    yield pa.concat_batches(held)
-                    held, size, rows = [], 0, 0
-                held.append(piece)
-                size, rows = size + more, rows + len(piece)
-    if held:
-        yield pa.concat_batches(held)
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of each batch (kind 0) and its documents with words (1)."""
-    for part in _batches(batches):
+    for part in gathered(batches, "_text", CHARS, DOCS):
         hashes, per_text = hashed_words(part["_text"])
         words, counts = np.unique(hashes, return_counts=True)
         kind = np.repeat([0, 1], [len(words), 1]).astype(np.int32)
@@ -185,7 +167,7 @@ def score(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: st
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
-        for number, part in enumerate(_batches(batches)):
+        for number, part in enumerate(gathered(batches, "_text", CHARS, DOCS)):
             hashes, per_text = hashed_words(part["_text"])
             words, codes = np.unique(shared.value.known(hashes), return_inverse=True)
             ids = part["doc_id"].fill_null(0).to_numpy()

@@ -11,9 +11,10 @@ for exact containment the necessary prefix is one shingle:
    below by 0 (position) and its end by the document's length;
 4. what remains is compared word by word over the window's whole size.
 
-Steps 1, 3 and 4 run inside the scan of the documents, so no document is shuffled;
-only verified hits and one thin row per document are.  The broadcast tables hold
-``BLOCK`` windows at most; a larger benchmark goes through in blocks.
+The documents are scanned twice: for step 1, which counts their words too, and for
+steps 3 and 4.  No document is shuffled; only counts, verified hits and one thin row per
+document are.  The broadcast tables hold ``BLOCK`` windows at most; a larger benchmark
+goes through in blocks, each with two scans.
 
 Defined results: a null text or item has no words; a null item id names no item;
 documents without words have n_words 0 and are clean; rows that repeat an id are
@@ -34,8 +35,6 @@ WINDOW, SHINGLE = 13, 5
 #: Windows (with their items) that are broadcast at once; a window has under 1 KB.
 BLOCK = 50_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words counted without folding the case first.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -62,19 +61,32 @@ def _with_shingles(windows: DataFrame, sizes: list[int], shingle: int) -> DataFr
     return windows.select("window", "size", F.explode(F.coalesce(*parts)).alias("s")).select("window", "size", "s.off", "s.h")
 
 
-def _block_hits(docs: DataFrame, windows: DataFrame, shingle: int) -> DataFrame:
+def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """Every position of a document with the hash of the shingle there, for each size; and one at -1, without a hash."""
+    at = docs.select("_row", "_id", "_key", "_w", F.explode(F.sequence(F.lit(-1), F.size("_w") - 1)).alias("_at"))
+    hashes = [F.when((F.col("_at") >= 0) & (F.col("_at") + k <= F.size("_w")), _shingle(F.col("_w"), F.col("_at"), k)) for k in sizes]
+    if len(sizes) == 1:
+        return at.withColumn("h", hashes[0])
+    each = F.when(F.col("_at") < 0, F.array(F.lit(None).cast("long"))).otherwise(F.array(*hashes))
+    return at.withColumn("h", F.explode(each))
+
+
+def _seen(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """One scan: a row (h, n) for each shingle of ``shingles`` that occurs, with how often, and a row (row, id, key, n_words) for each document."""
+    known = shingles.select("h").distinct().withColumn("_known", F.lit(True))
+    every = _positions(docs, sizes).join(F.broadcast(known), "h", "left").filter("_at < 0 OR _known")
+    of_doc = lambda c: F.when(F.col("_at") < 0, c)
+    keys = [F.col("h"), of_doc(F.col("_row")).alias("_row"), of_doc(F.col("_id")).alias("_id"), of_doc(F.col("_key")).alias("_key"), of_doc(F.size("_w")).alias("n_words")]
+    return every.select(*keys).groupBy("h", "_row", "_id", "_key", "n_words").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _block_hits(docs: DataFrame, shingles: DataFrame, seen: DataFrame, sizes: list[int]) -> DataFrame:
     """Verified hits of one block of distinct windows: (id, key, start, size, window)."""
-    sizes = sorted({min(shingle, r[0]) for r in windows.select("size").distinct().collect()})  # no more than ``window`` values
-    at = docs.select("_id", "_key", "_w", F.posexplode("_w").alias("_at", "_word"))
-    hashes = [F.when(F.col("_at") + k <= F.size("_w"), _shingle(F.col("_w"), F.col("_at"), k)) for k in sizes]
-    at = at.withColumn("h", hashes[0]) if len(sizes) == 1 else at.withColumn("h", F.explode(F.array(*hashes)))
-    shingles = stage(_with_shingles(windows, sizes, shingle), "decontam-shingles")
-    seen = at.select("h").join(F.broadcast(shingles.select("h").distinct()), "h").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     rarity = shingles.join(seen, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     prefix = rarity.groupBy("window", "size").agg(F.min(F.struct("n", "off", "h")).alias("p")).filter("p.n > 0").select("window", "size", "p.off", "p.h")
     prefix = stage(prefix, "decontam-prefixes")
     start = F.col("_at") - F.col("off")
-    near = at.join(F.broadcast(prefix), "h").filter((start >= 0) & (start + F.col("size") <= F.size("_w")))
+    near = _positions(docs, sizes).join(F.broadcast(prefix), "h").filter((start >= 0) & (start + F.col("size") <= F.size("_w")))
     same = near.filter(F.array_join(F.slice("_w", start + 1, F.col("size")), " ") == F.col("window"))
     return same.select("_id", "_key", start.alias("start"), "size", "window")
 
@@ -85,17 +97,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     A document is contaminated if it has a hit and the words in hits are at least one in ``share``.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_key", doc_key(F.col("_id"), F.col("_text")))
-    thin = rows.select("_id", "_key", F.regexp_count("_text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
+    worded = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_key", words_of(F.col("_text")).alias("_w"))
     windows = stage(item_windows(items, item_col, item_text_col, window), "decontam-windows")
     n = windows.count()
     if not n:
-        return thin.select(F.col("_id").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.lit(False).alias("contaminated"), F.col("_key").alias("key"))
+        return worded.select(F.col("_id").alias("doc_id"), F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.col("_key").alias("key"), F.lit(False).alias("contaminated"))
 
-    worded = rows.select("_id", "_key", words_of(F.col("_text")).alias("_w"))
     blocks = -(-n // block)
     own = windows.select("window", "size").distinct()
-    hits = reduce(DataFrame.unionByName, [_block_hits(worded, own.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b), shingle) for b in range(blocks)])
-    hits = stage(hits, "decontam-hits")
+    thin, found = None, []
+    for b in range(blocks):
+        some = own.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
+        sizes = sorted({min(shingle, r[0]) for r in some.select("size").distinct().collect()})  # no more than ``window`` values
+        if not sizes:
+            continue
+        shingles = stage(_with_shingles(some, sizes, shingle), "decontam-shingles")
+        seen = stage(_seen(worded, shingles, sizes), "decontam-seen")
+        thin = seen.filter("h IS NULL").select("_id", "_key", F.col("n_words").cast("long").alias("n_words")) if thin is None else thin
+        found.append(_block_hits(worded, shingles, seen.filter("h IS NOT NULL").select("h", "n"), sizes))
+    hits = stage(reduce(DataFrame.unionByName, found), "decontam-hits")
 
     by_doc = Window.partitionBy("_id", "_key").orderBy("start", "size")
     before = F.max(F.col("start") + F.col("size")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

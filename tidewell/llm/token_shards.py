@@ -45,14 +45,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import in_arrow
+from tidewell.llm.words import gathered
 from tidewell.plans.staging import stage
 
 BLOCK = 1 << 16
 #: Ids that fill a shard; a document that goes beyond stays whole.
 SHARD_IDS = 4_000_000
 CACHE = 700_000
+#: Bytes of texts that are encoded at a time.
+CHARS = 4_000_000
+#: Words that the library is given in one text.
+TOGETHER = 2000
 #: Marks that are one unit together wherever they follow a word.
 _MARKS = ".,;:!?#*$%&"
+#: Words whose letters are lower case and composed already.
+_PLAIN = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
+#: What the model's tokens end with at the end of a word, and the word put between others.
+_LAST, _BETWEEN = "</w>", "\x01"
 _HEAD = struct.Struct("<4sHHIIQI")
 
 
@@ -115,8 +124,19 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if gone else k for k, gone in zip(keys, nulls, strict=True)], np.frombuffer(tail[2], "<u4"), found
 
 
+def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` one after the other."""
+    ends = np.cumsum(sizes)
+    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+
+
 class WordEncoder:
-    """Ids of whole texts by way of their distinct non-blank runs."""
+    """Ids of whole texts by way of their distinct non-blank runs.
+
+    Runs are given to the library many at a time, as words of one text.  The model marks
+    each word's last token, which tells the words of plain letters apart; other runs, which
+    can be several words each, have a word of their own between them.
+    """
 
     def __init__(self, model: bytes):
         import os
@@ -125,57 +145,93 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_str(model.decode())
-        # Lower-case letters of the Latin blocks are their own normal form and one unit of the
-        # split, so for words of them alone normalising and splitting can be left out.
+        # Lower-case letters of the first Latin blocks are their own normal form and one unit of
+        # the split, so for words of them alone normalising and splitting can be left out.
         self.plain = Tokenizer.from_str(model.decode())
         self.plain.normalizer = None
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith(_LAST)]] = True
+        between = self.model.encode(_BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 and self._marks_ends() else None
         self.clear()
 
+    def _marks_ends(self) -> bool:
+        """Whether this model marks the last tokens of words, and of those only."""
+        ids = np.array(self.plain.encode("abc zyxwvutsrq m", add_special_tokens=False).ids)
+        return bool(self.last[ids].sum() == 3 and self.last[ids[-1]])
+
     def clear(self) -> None:
         self.place: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1, np.int64)
         self.met = np.zeros(0, np.int32)
 
-    def _encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word; a plain word with marks after it is two units, which are encoded once each."""
-        out: list[list[int] | None] = [None] * len(words)
-        stems: dict[str, list[int]] = {}
-        split = []
-        for k, word in enumerate(words):
-            stem = word.rstrip(_MARKS)
-            if stem.isalpha() and max(stem) < "\u0250" and stem == stem.lower():
-                stems[stem] = []
-                split.append((k, stem, word[len(stem) :]))
-        for stem, found in zip(stems, self.plain.encode_batch_fast(list(stems), add_special_tokens=False), strict=True):
-            stems[stem] = found.ids
-        tails = {tail: self.model.encode(tail, add_special_tokens=False).ids for tail in {t for _, _, t in split}}
-        for k, stem, tail in split:
-            out[k] = stems[stem] + tails[tail] if tail else stems[stem]
-        rest = [k for k, found in enumerate(out) if found is None]
-        for k, found in zip(rest, self.model.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = found.ids
-        return out  # type: ignore[return-value]
+    @staticmethod
+    def _ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum())), sizes
+
+    def _together(self, tokenizer, words: list[str], between: str) -> np.ndarray:
+        flat, _ = self._ids(tokenizer, [between.join([*words[k : k + TOGETHER], ""]) for k in range(0, len(words), TOGETHER)])
+        return flat
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, how many each has); a plain word with marks after it is two units, which are encoded once each."""
+        if self.between is None:
+            return self._ids(self.model, words)
+        every = pa.array(words, pa.string())
+        stems = pc.utf8_rtrim(every, _MARKS)
+        plain = pc.match_substring_regex(stems, _PLAIN).to_numpy(zero_copy_only=False)
+        odd = pc.or_(pc.match_substring(every, "<|"), pc.match_substring(every, _BETWEEN)).to_numpy(zero_copy_only=False)
+        starts, sizes = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
+        pools, at = [], 0
+
+        def put(which: np.ndarray, column: int, code: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
+            nonlocal at
+            begin = np.cumsum(counts) - counts + at
+            starts[which, column], sizes[which, column] = begin[code], counts[code]
+            pools.append(flat)
+            at += len(flat)
+
+        if len(which := np.flatnonzero(plain)):
+            coded = pc.dictionary_encode(stems.filter(pa.array(plain)))
+            flat = self._together(self.plain, coded.dictionary.to_pylist(), " ")
+            put(which, 0, coded.indices.to_numpy(), flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1))
+            own = pc.utf8_length(stems).to_numpy(zero_copy_only=False)
+            tails = pc.dictionary_encode(pa.array([words[k][n:] for k, n in zip(which.tolist(), own[which].tolist(), strict=True)], pa.string()))
+            put(which, 1, tails.indices.to_numpy(), *self._ids(self.model, tails.dictionary.to_pylist()))
+        if len(which := np.flatnonzero(~plain & ~odd)):
+            flat = self._together(self.model, [words[k] for k in which.tolist()], f" {_BETWEEN} ")
+            cuts = np.flatnonzero(flat == self.between)
+            real = flat != self.between
+            put(which, 0, np.arange(len(which)), flat[real], np.diff(cuts, prepend=-1) - 1)
+        if len(which := np.flatnonzero(~plain & odd)):
+            put(which, 0, np.arange(len(which)), *self._ids(self.model, [words[k] for k in which.tolist()]))
+        return _gather(np.concatenate(pools), starts.ravel(), sizes.ravel()), sizes.sum(axis=1)
 
     def _learn(self, words: list[str]) -> None:
         if len(self.place) > CACHE:  # words met once go, with what is known of them
             again = np.flatnonzero(self.met > 1)
             names = list(self.place)
-            kept = [names[k] for k in again.tolist()] if len(again) < CACHE // 2 else []
-            ids = [self.flat[self.ends[k] : self.ends[k + 1]] for k in again.tolist()] if kept else []
+            flat, ends = self.flat, self.ends
             self.clear()
-            self._add(kept, ids)
+            if len(again) < CACHE // 2:
+                sizes = ends[again + 1] - ends[again]
+                self._add([names[k] for k in again.tolist()], _gather(flat, ends[again], sizes), sizes)
         new = [w for w in words if w not in self.place]
-        self._add(new, self._encode_words(new))
+        if new:
+            self._add(new, *self._encode_words(new))
 
-    def _add(self, new: list[str], got: list) -> None:
+    def _add(self, new: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         if not new:
             return
-        ends = self.ends[-1] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        ends = self.ends[-1] + np.cumsum(sizes)
         if ends[-1] > len(self.flat):
             self.flat = np.resize(self.flat, int(ends[-1] * 1.5))
-        self.flat[self.ends[-1] : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32)
+        self.flat[self.ends[-1] : ends[-1]] = ids
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
         self.ends = np.concatenate([self.ends, ends])
         self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
@@ -201,7 +257,7 @@ class WordEncoder:
         size, start = np.ones(slots, np.int64), np.zeros(slots, np.int64)
         size[inner], start[inner] = sizes[code], starts[code]
         offset = np.cumsum(size)
-        ids = self.flat[np.arange(offset[-1] if slots else 0) + np.repeat(start - (offset - size), size)]
+        ids = _gather(self.flat, start, size)
         ids[offset[last] - 1] = end_id
         return np.diff(offset[last], prepend=0) if n_texts else np.empty(0, np.int64), ids
 
@@ -239,19 +295,14 @@ def write_shards(docs: DataFrame, model: bytes, end_id: int, id_col: str = "doc_
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "seq", "n_docs", "n_ids", "data"])
 
         total = 0
-        for batch in batches:
-            chars = pc.utf8_length(batch["_text"]).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(chars) // 4_000_000, prepend=0)) + 1  # bounded work at a time
-            for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True):
-                if a == b:
-                    continue
-                lengths, ids = encoder.encode(batch["_text"].slice(a, b - a), end_id)
-                keys += batch["_id"].slice(a, b - a).to_pylist()
-                held.append((lengths, ids))
-                total += len(ids)
-                if total >= shard_ids:
-                    yield shard()
-                    keys, held, total, seq = [], [], 0, seq + 1
+        for some in gathered(batches, "_text", CHARS):
+            lengths, ids = encoder.encode(some["_text"], end_id)
+            keys += some["_id"].to_pylist()
+            held.append((lengths, ids))
+            total += len(ids)
+            if total >= shard_ids:
+                yield shard()
+                keys, held, total, seq = [], [], 0, seq + 1
         if keys:
             yield shard()
 

@@ -35,3 +35,21 @@ def parts(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBa
     for a, b in zip([0, *cuts], [*cuts, len(chars)], strict=True):
         if a < b:
             yield batch.slice(a, b - a)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``most`` bytes of text and at most ``rows`` rows, whatever Arrow's are."""
+    held: list[pa.RecordBatch] = []
+    size = n = 0
+    for batch in batches:
+        for part in parts(batch, column, most):
+            for a in range(0, len(part), rows):
+                piece = part.slice(a, rows)
+                more = piece[column].nbytes
+                if held and (size + more > most or n + len(piece) > rows):
+                    yield pa.concat_batches(held)
+                    held, size, n = [], 0, 0
+                held.append(piece)
+                size, n = size + more, n + len(piece)
+    if held:
+        yield pa.concat_batches(held)
