@@ -117,6 +117,26 @@ def test_word_encoder_composes_before_it_folds_case():
         assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in some]
 
 
+@pytest.fixture
+def uncoalesced(spark):
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_rows_of_one_id_are_dealt_over_partitions(spark, uncoalesced):
+    model = read("word_bpe_49k.json")
+    rows = [(None if k % 3 else k, f"text {k % 700} of many" if k % 2 else "the same") for k in range(6000)]
+    shards = token_shards.write_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), model, 2)
+    per_part = [r["n"] for r in shards.groupBy("part").agg({"n_docs": "sum"}).withColumnRenamed("sum(n_docs)", "n").collect()]
+    assert sum(per_part) == 6000 and max(per_part) <= 2500
+    got = sorted(((r.start, r.doc_id, r.n_tokens) for r in token_shards.read_shards(shards).collect()), key=lambda r: r[0])
+    assert [i for _, i, _ in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(a + n == b for (a, _, n), (b, _, _) in zip(got, got[1:], strict=False))
+
+
 def test_shard_query(spark, sf):
     from tokenizers import Tokenizer
 
@@ -217,6 +237,12 @@ def test_survivors_of_a_repeated_id(spark, odd):
     assert len(texts) == 4 and {"another text", None, " "} < set(texts) and len(set(texts) & set(near)) == 1
 
 
+def test_join_query(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries()["op6_jaccard"](spark, sf).collect()}
+    assert got == {i: (n, c) for i, n, c in brute.near(rows)}
+
+
 def test_link_tile_bound_never_hides_a_link():
     rng = np.random.default_rng(4)
     sets = []
@@ -612,7 +638,7 @@ def test_a_deep_thread_takes_few_rounds(spark, monkeypatch):
     assert all(r.reply_to == want[r.conv_id, r.turn][0] for r in out)
 
 
-def test_carried_over_partitions(spark):
+def test_carried_over_partitions(spark, uncoalesced):
     rng = random.Random(12)
     rows = [(rng.randint(0, 3), k, rng.choice([None, None, None, None, k * 10])) for k in range(3000)] + [(9, k, 5 if k == 0 else None) for k in range(2000)]
     want, last = {}, {}
@@ -620,12 +646,7 @@ def test_carried_over_partitions(spark):
         want[g, k] = last.get(g)
         last[g] = v if v is not None else last.get(g)
     df = spark.createDataFrame(rows, "g long, k long, v long").repartition(4)
-    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        got = quotes.carried(df, ["g"], ["k"], df["v"], "x").collect()
-    finally:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    got = quotes.carried(df, ["g"], ["k"], df["v"], "x").collect()
     assert {(r.g, r.k): r.x for r in got} == want
 
 
@@ -637,6 +658,17 @@ def test_reply_order_odd(spark):
     assert quotes.chat_lines(out).filter("line is null").count() == 0
 
 
+def test_conversation_query_by_searching(spark, sf):
+    rows = [(r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert len({r[:2] for r in rows}) == len(rows)
+    links, reply, _ = plain_links(rows)
+    place = plain_order(rows)
+    got = queries()["op3_chat_format"](spark, sf).collect()
+    assert {(r.conv_id, r.turn): (r.reply_to, r.n_quoted) for r in got} == {k: (v, sum(x[:2] == k for x in links)) for k, v in reply.items()}
+    order = sorted(got, key=lambda r: (r.conv_id, r.branch, r.turn))
+    assert [(r.conv_id, r.turn) for r in order] == sorted(place, key=lambda k: (k[0], place[k][1]))
+
+
 def test_conversation_query_keeps_every_message(spark, sf):
     table = spark.read.parquet(f"{sf}/conversations.parquet")
     out = queries()["op3_chat_format"](spark, sf)

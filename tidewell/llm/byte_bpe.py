@@ -58,10 +58,11 @@ class ByteBPE:
             self.tokens[rank] = token
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.width = len(self.tokens)
-        #: Rank of the token that a pair of tokens makes, under left * width + right.
-        self.pairs = {ranks[t[:i]] * self.width + ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        self.pair_keys = np.array(sorted(self.pairs), np.int64)
-        self.pair_ranks = np.array([self.pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        #: Pairs of tokens that make a token, as left * width + right in order, and its rank.
+        found = ((ranks[t[:i]] * self.width + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        pairs = np.fromiter(found, np.dtype([("key", np.int64), ("rank", np.int64)]))
+        pairs.sort(order="key")
+        self.pair_keys, self.pair_ranks = pairs["key"].copy(), pairs["rank"].copy()
         #: Ids of pieces as little-endian 32-bit integers.
         self.cache: dict[str, bytes] = {}
 
@@ -73,12 +74,15 @@ class ByteBPE:
         size = 1 << max(1, (n - 1).bit_length())
         ids = [int(self.byte_ids[b]) for b in piece]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        none, pairs, width = int(_NONE), self.pairs, self.width
+        none, width, keys, ranks = int(_NONE), self.width, self.pair_keys, self.pair_ranks
 
         def leaf(i: int) -> int:
             j = after[i]
-            rank = pairs.get(ids[i] * width + ids[j]) if j < n else None
-            return none if rank is None else rank * size + i
+            if j >= n:
+                return none
+            key = ids[i] * width + ids[j]
+            at = int(keys.searchsorted(key))
+            return int(ranks[at]) * size + i if at < len(keys) and keys[at] == key else none
 
         tree = [none] * (2 * size)
         tree[size : size + n] = map(leaf, range(n))

@@ -16,9 +16,9 @@ Shard files are written as rows of a Parquet table by Spark's own writer, so a l
 executor or a repeated task leaves no half file and any shared store will do;
 ``export_files`` puts them into a folder as plain files.
 
-Documents are range-partitioned and sorted by id, so shards in order of (partition,
-sequence) hold ascending ids, and the first id position of a shard is a running sum
-over shards.
+Documents are range-partitioned and sorted by id, then by a hash of the text, so shards
+in order of (partition, sequence) hold ascending ids, however many rows share one, and
+the first id position of a shard is a running sum over shards.
 
 Ids come from the tokenizers library, which is given each distinct run of
 non-blank characters once; white space only separates tokens in its word model, so
@@ -280,7 +280,9 @@ def write_shards(docs: DataFrame, model: bytes, end_id: int, id_col: str = "doc_
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    ordered = rows.repartitionByRange(F.col("_id").asc_nulls_first()).sortWithinPartitions(F.col("_id").asc_nulls_first(), F.xxhash64("_text"))
+    # Beside the id, the text and at last the row: so many rows of one id, or of none, are dealt over partitions too.
+    keys = [F.col("_id").asc_nulls_first(), F.col("_hash"), F.col("_row")]
+    ordered = rows.withColumns({"_hash": F.xxhash64("_text"), "_row": F.monotonically_increasing_id()}).repartitionByRange(*keys).sortWithinPartitions(*keys).select("_id", "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
