@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ascii_lower, doc_key, unused
-from tidewell.plans.staging import stage
+from tidewell.plans.staging import compact, stage
 
 WINDOW, SHINGLE = 13, 5
 #: Windows (with their items) that are broadcast at once; a window has under 1 KB.
@@ -84,7 +84,7 @@ def _block_hits(docs: DataFrame, shingles: DataFrame, seen: DataFrame, sizes: li
     """Verified hits of one block of distinct windows: (id, key, start, size, window)."""
     rarity = shingles.join(seen, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     prefix = rarity.groupBy("window", "size").agg(F.min(F.struct("n", "off", "h")).alias("p")).filter("p.n > 0").select("window", "size", "p.off", "p.h")
-    prefix = stage(prefix, "decontam-prefixes")
+    prefix = stage(prefix, "decontam-prefixes", rows=shingles.count(), width=160)
     start = F.col("_at") - F.col("off")
     near = _positions(docs, sizes).join(F.broadcast(prefix), "h").filter((start >= 0) & (start + F.col("size") <= F.size("_w")))
     same = near.filter(F.array_join(F.slice("_w", start + 1, F.col("size")), " ") == F.col("window"))
@@ -98,7 +98,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("_key", doc_key(F.col("_id"), F.col("_text")))
     worded = rows.select(F.monotonically_increasing_id().alias("_row"), "_id", "_key", words_of(F.col("_text")).alias("_w"))
-    windows = stage(item_windows(items, item_col, item_text_col, window), "decontam-windows")
+    windows = stage(item_windows(items, item_col, item_text_col, window), "decontam-windows", rows=64 * items.count(), width=128)
     n = windows.count()
     if not n:
         return worded.select(F.col("_id").alias("doc_id"), F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.col("_key").alias("key"), F.lit(False).alias("contaminated"))
@@ -111,8 +111,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         sizes = sorted({min(shingle, r[0]) for r in some.select("size").distinct().collect()})  # no more than ``window`` values
         if not sizes:
             continue
-        shingles = stage(_with_shingles(some, sizes, shingle), "decontam-shingles")
-        seen = stage(_seen(worded, shingles, sizes), "decontam-seen")
+        shingles = stage(_with_shingles(some, sizes, shingle), "decontam-shingles", rows=window * min(n, block), width=160)
+        seen = stage(_seen(worded, shingles, sizes), "decontam-seen", rows=docs.count() + window * min(n, block), width=48)
         thin = seen.filter("h IS NULL").select("_id", "_key", F.col("n_words").cast("long").alias("n_words")) if thin is None else thin
         found.append(_block_hits(worded, shingles, seen.filter("h IS NOT NULL").select("h", "n"), sizes))
     hits = stage(reduce(DataFrame.unionByName, found), "decontam-hits")
@@ -140,4 +140,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     own_key, g_id, g_key = unused(docs, "key", "g_id", "g_key")
     gone = found.filter("contaminated").select(F.col("doc_id").alias(g_id), F.col("key").alias(g_key)).distinct()
     own = docs.withColumn(own_key, doc_key(F.col(id_col), F.col(text_col)))
-    return own.join(gone, F.col(id_col).eqNullSafe(F.col(g_id)) & (F.col(own_key) == F.col(g_key)), "left_anti").drop(own_key)
+    left = own.join(gone, F.col(id_col).eqNullSafe(F.col(g_id)) & (F.col(own_key) == F.col(g_key)), "left_anti").drop(own_key)
+    return compact(left, docs)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ASCII_SPACE, unused
-from tidewell.plans.staging import stage
+from tidewell.plans.staging import compact, spread, stage
 
 #: A class is hot if it holds more than one row in so many.
 HOT_SHARE = 2000
@@ -64,20 +64,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     local = rows.withColumn("_salt", F.spark_partition_id() % salts)
     salted = local.groupBy("_dig", "_salt", "_norm").agg(F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_size"))
     whole = salted.groupBy("_dig", "_norm").agg(F.max("_rank").alias("_top"), F.sum("_size").alias("_size"))
-    classes = stage(whole.select("_dig", "_top", "_size"), "dedup-classes")
+    n = docs.count()
+    classes = stage(whole.select("_dig", "_top", "_size"), "dedup-classes", rows=n, width=80)
 
     key = ["_dig"]
     if not classes.groupBy("_dig").count().filter("count > 1").isEmpty():  # two texts share a digest: content joins the key
         key, classes = ["_dig", "_norm"], stage(whole, "dedup-texts")
-    thin = stage(rows.select("_id", "_n", "_rank", *key, F.monotonically_increasing_id().alias("_row")), "dedup-rows")
+    thin = stage(rows.select("_id", "_n", "_rank", *key, F.monotonically_increasing_id().alias("_row")), "dedup-rows", rows=n, width=100, least=spread(docs.sparkSession))
 
     first = thin.groupBy(*key, F.col("_rank").alias("_top")).agg(F.min("_row").alias("_first"))
-    classes = stage(classes.join(first, [*key, "_top"]), "dedup-winners")
+    classes = stage(classes.join(first, [*key, "_top"]), "dedup-winners", rows=n, width=90)
     total = classes.agg(F.sum("_size")).first()[0] or 0
     hot = classes.filter(F.col("_size") * HOT_SHARE > total).select(*key, F.lit(True).alias("_hot"))
-    spread = classes.withColumn("_salt", F.explode(F.when(F.col("_size") * HOT_SHARE > total, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    salted_classes = classes.withColumn("_salt", F.explode(F.when(F.col("_size") * HOT_SHARE > total, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     dealt = thin.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.hash("_row"), F.lit(salts))).otherwise(F.lit(0)))
-    return dealt.join(spread, [*key, "_salt"]).select(
+    return dealt.join(salted_classes, [*key, "_salt"]).select(
         F.col("_id").alias("doc_id"), _rank_id(F.col("_top")).alias("keep_id"), F.col("_size").alias("group_size"), (F.col("_row") == F.col("_first")).alias("kept"), F.col("_n").alias("n_chars"), F.col("_dig").alias("text_digest")
     )
 
@@ -95,4 +96,4 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeats = docs.groupBy(F.col(id_col).alias(k_id)).count().filter("count > 1")
     if not repeats.isEmpty():  # ids repeat in this table: of their equal rows one stays
         found = found.dropDuplicates([dig])
-    return found.drop(dig, n)
+    return compact(found.drop(dig, n), docs)

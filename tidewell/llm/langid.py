@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import in_arrow
 from tidewell.llm.words import parts
+from tidewell.plans.staging import compact
 
 GRAM = 4
 #: Characters of texts that are judged at a time.
@@ -195,4 +196,4 @@ def keep_identified(docs: DataFrame, model: LanguageFilter, least: float, text_c
         for part, langs, scores in _predicted(shared.value, batches, text_col):
             yield part.filter(pa.array([lang != "und" and score >= least for lang, score in zip(langs, scores.tolist(), strict=True)], pa.bool_()))
 
-    return in_arrow(docs, work, docs.schema)
+    return in_arrow(compact(docs, docs), work, docs.schema)

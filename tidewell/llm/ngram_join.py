@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import doc_key, in_arrow, unused
 from tidewell.llm.components import connected_components, star_edges
 from tidewell.llm.words import hashed_words, parts
-from tidewell.plans.staging import stage, unstage
+from tidewell.plans.staging import compact, spread, stage, unstage
 
 SIZE, PERCENT = 4, 85
 #: Minima of a band, and the probability that a pair at the threshold shares no band.
@@ -298,11 +298,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``exact`` finds neighbourhoods by prefix keys, which can miss no link.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("key", doc_key(F.col("doc_id"), F.col("_text")))
-    sketches = stage(in_arrow(rows, _sketch(size, percent, exact), "doc_id long, key long, hi long, lo long, n int, keys array<long>"), "join-sketches")
-    n, n_keys = sketches.count(), 64 if exact else n_bands(percent)
+    n, n_keys, least = docs.count(), 64 if exact else n_bands(percent), spread(docs.sparkSession)
+    sketches = in_arrow(rows, _sketch(size, percent, exact), "doc_id long, key long, hi long, lo long, n int, keys array<long>")
+    sketches = stage(sketches, "join-sketches", rows=n, width=48 + 8 * n_keys, least=least)
     row_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))  # an id where there is one, the least
     classes = sketches.filter("n > 0").groupBy("hi", "lo").agg(row_of.alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    nodes = stage(classes.select("hi", "lo", F.col("row.doc_id").alias("least"), F.col("row.key").alias("key"), "n", "keys").withColumn("node", F.monotonically_increasing_id()), "join-nodes", rows=n, width=40 + 8 * n_keys)
+    nodes = stage(classes.select("hi", "lo", F.col("row.doc_id").alias("least"), F.col("row.key").alias("key"), "n", "keys").withColumn("node", F.monotonically_increasing_id()), "join-nodes", rows=n, width=48 + 8 * n_keys)
 
     keyed = nodes.select("node", F.explode("keys").alias("k"))
     hubs = stage(keyed.groupBy("k").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub != last").select("k", "hub"), "join-hubs", rows=n * n_keys // 2)
@@ -315,7 +316,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     own = members.select("node", "hi", "lo", "key", F.col("least").alias("_least"))
     texts = rows.join(own, (rows["key"] == own["key"]) & F.col("doc_id").eqNullSafe(F.col("_least"))).select("_text", "node", "hi", "lo")
-    sets = stage(in_arrow(texts, _sets_of_nodes(size), "node long, data binary"), "join-sets")
+    shingles = members.agg(F.sum("n")).first()[0] or 0
+    sets = stage(in_arrow(texts, _sets_of_nodes(size), "node long, data binary"), "join-sets", rows=shingles, width=8, least=least)
 
     def forest(placed: DataFrame) -> DataFrame:
         """Links in the tiles of (node, root, tiles)."""
@@ -331,12 +333,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         apart = stage(whole.join(parted, "comp").select("node", "comp", "n", "root", (F.col("root") == F.col("top")).alias("main"), "rest"), "join-apart", rows=n, width=48)
         linked = connected_components(links.unionByName(forest(_rest_tiles(apart, percent, tile, first))), "join-links", n)
 
-    least = stage(linked.join(nodes.select("node", "least"), "node"), "join-linked", rows=n)
-    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = least.select("node", "root").join(named, "root")
+    placed = stage(linked.join(nodes.select("node", "least"), "node"), "join-linked", rows=n)
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = placed.select("node", "root").join(named, "root")
     found = nodes.select("node", "hi", "lo", "least").join(known, "node", "left").select("hi", "lo", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "node").alias("root"))
     found = stage(found, "join-classes", rows=n, width=40)
-    unstage(least, links, linked, nodes, sets)
+    unstage(placed, links, linked, nodes, sets)
     out = sketches.select("doc_id", "key", "hi", "lo", F.col("n").cast("long").alias("n_shingles")).join(found, ["hi", "lo"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "key", "root")
 
@@ -360,4 +362,4 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         own_text = F.when(F.col(root).isNull(), F.col(own_key))
         known = known.withColumn(place, F.row_number().over(Window.partitionBy(own_id, root, own_text).orderBy(own_key))).filter(F.col(place) == 1).drop(place, root, g_id, g_key)
         left = known.unionByName(left.filter(F.col(own_id).isNull()))
-    return left.drop(own_id, own_key)
+    return compact(left.drop(own_id, own_key), docs)

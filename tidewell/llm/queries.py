@@ -19,7 +19,8 @@ from tidewell.llm.secrets import KINDS, scan_secrets, spans_text
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return backoff.score(docs, backoff.learn(docs)).select("doc_id", "n_words", "score")
+    per_word = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).otherwise(F.lit(0.0))
+    return backoff.score(docs, backoff.learn(docs)).select("doc_id", "n_words", "score", per_word.alias("score_per_word"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +120,9 @@ def oracle_sql() -> dict[str, str]:
             ), d AS (
                 SELECT k.doc_id, count(*) AS n_words, CAST(sum(s.micro) AS BIGINT) AS micro FROM k JOIN s ON k.w1 = s.w1 AND k.w2 = s.w2 GROUP BY k.doc_id
             )
-            SELECT w.doc_id, coalesce(d.n_words, 0) AS n_words, CAST(coalesce(d.micro, 0) AS DOUBLE) / 1000000 AS score FROM w LEFT JOIN d ON w.doc_id = d.doc_id
+            SELECT w.doc_id, coalesce(d.n_words, 0) AS n_words, CAST(coalesce(d.micro, 0) AS DOUBLE) / 1000000 AS score,
+                   CASE WHEN d.n_words > 0 THEN CAST(d.micro AS DOUBLE) / 1000000 / d.n_words ELSE CAST(0 AS DOUBLE) END AS score_per_word
+            FROM w LEFT JOIN d ON w.doc_id = d.doc_id
         """,
         "op5_exact_dedup": r"""
             WITH n AS (
