@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import byte_bpe, decontam, exact_dedup, langid, ngram_join
 from tidewell.llm.common import may_learn, table
-from tidewell.plans.staging import stage
+from tidewell.plans.staging import compact, stage
 
 #: Share of a text's n-grams that must be in its language.  Running prose has over 0.9, short or mixed texts over 0.5.
 LEAST_KNOWN = 0.2
@@ -49,7 +49,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         ranks = f.read()
-    out = byte_bpe.round_trip(docs, ranks, public_tokenizers.PATTERN)
+    out = byte_bpe.round_trip(compact(docs, docs), ranks, public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
