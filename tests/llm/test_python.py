@@ -480,27 +480,19 @@ def plain_scores(rows):
     return out
 
 
-@pytest.mark.parametrize(("tile", "hot"), [(2_000_000, 20_000), (50, 20_000), (5000, 200)])
-def test_backoff_odd(odd, odd_rows, tile, hot):
-    got = backoff.score(odd, backoff.learn(odd, hot=hot), tile=tile).collect()
+@pytest.mark.parametrize("tile", [2_000_000, 5000, 50])
+def test_backoff_odd(odd, odd_rows, tile):
+    got = backoff.score(odd, tile=tile).collect()
     assert sorted(((r.doc_id, r.n_words, round(r.score, 6)) for r in got), key=str) == sorted(((i, n, round(s, 6)) for i, n, s in plain_scores(odd_rows)), key=str)
 
 
 def test_backoff_empty(none):
-    assert backoff.score(none, backoff.learn(none)).count() == 0
-
-
-def test_backoff_unknown_words(spark):
-    rows = [(i, "a a a a b" if i else "z y x") for i in range(5)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = backoff.learn(df, vocabulary=20)
-    assert len(model.hashes) == 2 and model.counts.tolist()[-2:] == [3, 5]
-    assert backoff.score(df, model).count() == 5
+    assert backoff.score(none).count() == 0
 
 
 def test_backoff_counts_rare_words_of_large_corpora(spark):
     rows = [(i, "a b c d " * 1200) for i in range(250)] + [(1000, "rare words once"), (1001, "gibberish a b twice"), (1002, "twice a twice")]
-    got = backoff.score(df := spark.createDataFrame(rows, "doc_id long, text string"), backoff.learn(df)).collect()
+    got = backoff.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = plain_scores(rows)
     assert sum(n for _, n, _ in want) > 1 << 20  # where a vocabulary of 2^20 would pool them
     assert sorted((r.doc_id, r.n_words, round(r.score, 6)) for r in got) == sorted((i, n, round(s, 6)) for i, n, s in want)

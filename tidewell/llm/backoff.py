@@ -49,21 +49,8 @@ CHARS, DOCS = 8_000_000, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _LOW = np.uint64(32)
-#: Stand for the start mark and, where a vocabulary is given, for the words outside it.
-_START, _UNKNOWN = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-
-
-@dataclass
-class Unigrams:
-    """A vocabulary's sorted hashes and its counts, then those of the unknown word and the start mark; no hashes: every word is known."""
-
-    hashes: np.ndarray | None
-    counts: np.ndarray
-
-    def known(self, hashes: np.ndarray) -> np.ndarray:
-        if self.hashes is None:
-            return hashes
-        return np.where(np.isin(hashes, self.hashes), hashes, _UNKNOWN)
+#: Stands for the start mark.
+_START = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass
@@ -128,38 +115,8 @@ def _held(data: bytes) -> tuple[np.ndarray, ...]:
     return ids, null, per_text, unpack(data[16 + a + b :], 1)[0], unpack(data[16 + a : 16 + a + b], 2)[1]
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts of each batch (kind 0) and its documents with words (1)."""
-    for part in gathered(batches, "_text", CHARS, DOCS):
-        hashes, per_text = hashed_words(part["_text"])
-        words, counts = np.unique(hashes, return_counts=True)
-        kind = np.repeat([0, 1], [len(words), 1]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(kind), pa.array(np.append(words, np.uint64(0)).view(np.int64)), pa.array(np.append(counts, int((per_text > 0).sum())).astype(np.int64))],
-            ["kind", "a", "n"],
-        )
-
-
-def learn(docs: DataFrame, text_col: str = "text", vocabulary: int | None = None, hot: int | None = None) -> Unigrams:
-    """The words that a model tells apart: all of them, or those that make up one token in ``vocabulary`` at least.
-
-    Only a given ``vocabulary`` is collected.  ``hot`` has no effect: frequent bigrams need no pass of their own.
-    """
-    if vocabulary is None:
-        return Unigrams(None, np.empty(0, np.int64))
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    counted = stage(in_arrow(rows, _count_words, "kind int, a long, n long").groupBy("kind", "a").agg(F.sum("n").alias("n")), "backoff-words")
-    sums = {r["kind"]: r["n"] for r in counted.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    tokens, starts = sums.get(0, 0), sums.get(1, 0)
-    words = counted.filter((F.col("kind") == 0) & (F.col("n") * vocabulary >= tokens)).select("a", "n").toArrow()  # at most ``vocabulary``
-    hashes, counts = words["a"].to_numpy().view(np.uint64), words["n"].to_numpy()
-    order = np.argsort(hashes)
-    return Unigrams(hashes[order], np.concatenate([counts[order], [tokens - counts.sum(), starts]]).astype(np.int64))
-
-
-def score(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_count: int = MIN_COUNT, tile: int = TILE) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, min_count: int = MIN_COUNT, tile: int = TILE) -> DataFrame:
     """One row per row: doc_id, n_words, score (sum of ln S)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +126,7 @@ def score(docs: DataFrame, model: Unigrams, id_col: str = "doc_id", text_col: st
         base = TaskContext.get().partitionId() << 32
         for number, part in enumerate(gathered(batches, "_text", CHARS, DOCS)):
             hashes, per_text = hashed_words(part["_text"])
-            words, codes = np.unique(shared.value.known(hashes), return_inverse=True)
+            words, codes = np.unique(hashes, return_inverse=True)
             ids = part["doc_id"].fill_null(0).to_numpy()
             data = _hold(ids, np.asarray(part["doc_id"].is_null()), per_text, words, codes)
             sums = [base + number, len(codes), int((per_text > 0).sum()), len(words)]

@@ -20,7 +20,7 @@ from tidewell.llm.secrets import KINDS, scan_secrets, spans_text
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     per_word = F.when(F.col("n_words") > 0, F.col("score") / F.col("n_words")).otherwise(F.lit(0.0))
-    return backoff.score(docs, backoff.learn(docs)).select("doc_id", "n_words", "score", per_word.alias("score_per_word"))
+    return backoff.score(docs).select("doc_id", "n_words", "score", per_word.alias("score_per_word"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
