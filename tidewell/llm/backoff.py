@@ -126,7 +126,11 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha
         base = TaskContext.get().partitionId() << 32
         for number, part in enumerate(gathered(batches, "_text", CHARS, DOCS)):
             hashes, per_text = hashed_words(part["_text"])
-            words, codes = np.unique(hashes, return_inverse=True)
+            words, codes, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            frequent = np.argsort(-times, kind="stable")  # first: codes of frequent words are small numbers, which pack well
+            rank = np.empty_like(frequent)
+            rank[frequent] = np.arange(len(frequent))
+            words, codes = words[frequent], rank[codes]
             ids = part["doc_id"].fill_null(0).to_numpy()
             data = _hold(ids, np.asarray(part["doc_id"].is_null()), per_text, words, codes)
             sums = [base + number, len(codes), int((per_text > 0).sum()), len(words)]
