@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ascii_lower, doc_key, unused
-from tidewell.plans.staging import compact, stage
+from tidewell.plans.staging import compact, spread, stage
 
 WINDOW, SHINGLE = 13, 5
 #: Windows (with their items) that are broadcast at once; a window has under 1 KB.
@@ -84,7 +84,7 @@ def _block_hits(docs: DataFrame, shingles: DataFrame, seen: DataFrame, sizes: li
     """Verified hits of one block of distinct windows: (id, key, start, size, window)."""
     rarity = shingles.join(seen, "h", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     prefix = rarity.groupBy("window", "size").agg(F.min(F.struct("n", "off", "h")).alias("p")).filter("p.n > 0").select("window", "size", "p.off", "p.h")
-    prefix = stage(prefix, "decontam-prefixes", rows=shingles.count(), width=160)
+    prefix = stage(prefix, "decontam-prefixes", rows=shingles.count(), width=160, least=spread(docs.sparkSession))
     start = F.col("_at") - F.col("off")
     near = _positions(docs, sizes).join(F.broadcast(prefix), "h").filter((start >= 0) & (start + F.col("size") <= F.size("_w")))
     same = near.filter(F.array_join(F.slice("_w", start + 1, F.col("size")), " ") == F.col("window"))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import ASCII_SPACE, unused
-from tidewell.plans.staging import compact, spread, stage
+from tidewell.plans.staging import compact, parts_of, stage
 
 #: A class is hot if it holds more than one row in so many.
 HOT_SHARE = 2000
@@ -65,12 +65,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = local.groupBy("_dig", "_salt", "_norm").agg(F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_size"))
     whole = salted.groupBy("_dig", "_norm").agg(F.max("_rank").alias("_top"), F.sum("_size").alias("_size"))
     n = docs.count()
-    classes = stage(whole.select("_dig", "_top", "_size"), "dedup-classes", rows=n, width=80)
+    classes = stage(whole.select("_dig", "_top", "_size"), "dedup-classes", rows=n, width=80, least=parts_of(docs))
 
     key = ["_dig"]
     if not classes.groupBy("_dig").count().filter("count > 1").isEmpty():  # two texts share a digest: content joins the key
         key, classes = ["_dig", "_norm"], stage(whole, "dedup-texts")
-    thin = stage(rows.select("_id", "_n", "_rank", *key, F.monotonically_increasing_id().alias("_row")), "dedup-rows", rows=n, width=100, least=spread(docs.sparkSession))
+    thin = stage(rows.select("_id", "_n", "_rank", *key, F.monotonically_increasing_id().alias("_row")), "dedup-rows", rows=n, width=100, least=parts_of(docs))
 
     first = thin.groupBy(*key, F.col("_rank").alias("_top")).agg(F.min("_row").alias("_first"))
     classes = stage(classes.join(first, [*key, "_top"]), "dedup-winners", rows=n, width=90)

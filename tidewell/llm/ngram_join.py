@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import doc_key, in_arrow, unused
 from tidewell.llm.components import connected_components, star_edges
 from tidewell.llm.words import hashed_words, parts
-from tidewell.plans.staging import compact, spread, stage, unstage
+from tidewell.plans.staging import compact, parts_of, stage, unstage
 
 SIZE, PERCENT = 4, 85
 #: Minima of a band, and the probability that a pair at the threshold shares no band.
@@ -298,7 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``exact`` finds neighbourhoods by prefix keys, which can miss no link.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).withColumn("key", doc_key(F.col("doc_id"), F.col("_text")))
-    n, n_keys, least = docs.count(), 64 if exact else n_bands(percent), spread(docs.sparkSession)
+    n, n_keys, least = docs.count(), 64 if exact else n_bands(percent), parts_of(docs)
     sketches = in_arrow(rows, _sketch(size, percent, exact), "doc_id long, key long, hi long, lo long, n int, keys array<long>")
     sketches = stage(sketches, "join-sketches", rows=n, width=48 + 8 * n_keys, least=least)
     row_of = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))  # an id where there is one, the least
