@@ -12,12 +12,12 @@ documents link if ``100 * common >= percent * union``.
    hashes of a set, as many as make it impossible that a link shares none (prefix
    filtering in the order of the hashes), which misses nothing but makes larger
    neighbourhoods where many documents share a passage.
-3. Neighbourhoods are cut into tiles.  One of up to ``FIRST`` shingles is a tile.  The
+3. Neighbourhoods are cut into tiles.  One of a volume up to ``FIRST`` is a tile.  The
    nodes of a larger one are banded by size and dealt twice, by other hashes and other
    size bands, to tiles of that volume; a dense group is one component after that.
 4. Where components remain apart in such a neighbourhood, every node outside its
    largest component meets every node of its own and the adjacent size bands, in pairs
-   of tiles of up to ``TILE`` shingles.
+   of tiles of up to ``TILE``.
 5. In a tile, each node has a bitmap of its hashed shingles.  A bit of one that the
    other lacks stands for a shingle at least that isn't common, so bit counts bound
    the overlap from above.  Only pairs whose bound reaches the threshold, and that
@@ -53,8 +53,8 @@ from tidewell.plans.staging import compact, parts_of, stage, unstage
 SIZE, PERCENT = 4, 85
 #: Minima of a band, and the probability that a pair at the threshold shares no band.
 ROWS, MISS = 5, 1.1e-11
-#: Shingles of a tile of the first dealing, and of the others; a pair of tiles has twice as many.
-FIRST, TILE = 40_000, 1_000_000
+#: Volume of a tile of the first dealing, and of the others; a pair of tiles has twice as much.  A set counts as its shingles and ``ROW`` more.
+FIRST, TILE, ROW = 40_000, 1_000_000, 64
 #: Bytes of a tile's bitmaps, and nodes that one is compared with at a time.
 MAPS, STEP = 16_000_000, 512
 #: Characters of texts that are hashed at a time.
@@ -245,6 +245,10 @@ def _band(percent: int, shift: float) -> Column:
     return F.floor(F.log("n") / width + shift).cast("int")
 
 
+def _volume() -> Column:
+    return F.sum(F.col("n") + ROW)
+
+
 def _entry(tile: Column, side: Column) -> Column:
     return F.struct(tile.cast("string").alias("tile"), side.cast("int").alias("side"))
 
@@ -254,7 +258,7 @@ def _first_tiles(members: DataFrame, wide: DataFrame, percent: int, first: int)
     small = members.join(wide, "comp", "left_anti").select("node", F.col("node").alias("root"), F.array(_entry(F.col("comp"), F.lit(2))).alias("tiles"))
     deals = F.explode(F.array(*[F.struct(F.lit(k).alias("deal"), _band(percent, k / 2).alias("band")) for k in range(2)]))
     twice = members.join(wide, "comp", "left_semi").select("node", "comp", "n", deals.alias("d")).select("node", "comp", "n", "d.deal", "d.band")
-    sizes = twice.groupBy("comp", "deal", "band").agg(F.ceil(F.sum("n") / first).alias("m"))
+    sizes = twice.groupBy("comp", "deal", "band").agg(F.ceil(_volume() / first).alias("m"))
     name = F.concat_ws(":", "comp", "deal", "band", F.pmod(F.xxhash64("node", "deal"), F.col("m")))
     large = twice.join(sizes, ["comp", "deal", "band"]).groupBy("node").agg(F.collect_list(_entry(name, F.lit(2))).alias("tiles"))
     return small.unionByName(large.select("node", F.col("node").alias("root"), "tiles"))
@@ -269,7 +273,7 @@ def _rest_tiles(apart: DataFrame, percent: int, tile: int, first: int) -> DataFr
     two of the latter kind.
     """
     banded = apart.withColumn("band", _band(percent, 0))
-    volume = lambda main: F.coalesce(F.sum(F.when(F.col("main") == main, F.col("n"))), F.lit(0))
+    volume = lambda main: F.coalesce(F.sum(F.when(F.col("main") == main, F.col("n") + ROW)), F.lit(0))
     tiles = lambda main: F.ceil(volume(main) / (F.least(F.lit(tile), F.greatest(F.lit(first), F.first("rest"))) if main else tile)).cast("int")
     bands = stage(banded.groupBy("comp", "band").agg(tiles(False).alias("r"), tiles(True).alias("s")), "join-bands")
     at = lambda name, shift: bands.select("comp", (F.col("band") + shift).alias("band"), F.struct("r", "s").alias(name))
@@ -312,10 +316,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     members = stage(nodes.select("node", "hi", "lo", "least", "key", "n").join(hoods.select("node", F.col("root").alias("comp")), "node"), "join-members", rows=n, width=64)
     unstage(hoods)
-    wide = members.groupBy("comp").agg(F.sum("n").alias("volume")).filter(F.col("volume") > first).select("comp")
+    wide = members.groupBy("comp").agg(_volume().alias("volume")).filter(F.col("volume") > first).select("comp")
 
     own = members.select("node", "hi", "lo", "key", F.col("least").alias("_least"))
-    texts = rows.join(own, (rows["key"] == own["key"]) & F.col("doc_id").eqNullSafe(F.col("_least"))).select("_text", "node", "hi", "lo")
+    # Both sides go by key whatever their sizes, so that the plan is one at every size.
+    texts = rows.join(own.hint("merge"), (rows["key"] == own["key"]) & F.col("doc_id").eqNullSafe(F.col("_least"))).select("_text", "node", "hi", "lo")
     shingles = members.agg(F.sum("n")).first()[0] or 0
     sets = stage(in_arrow(texts, _sets_of_nodes(size), "node long, data binary"), "join-sets", rows=shingles, width=8, least=least)
 
@@ -327,7 +332,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = forest(_first_tiles(members.select("node", "comp", "n"), wide, percent, first))
     linked = connected_components(links, "join-links", n)
     whole = members.select("node", "comp", "n").join(wide, "comp", "left_semi").join(linked, "node", "left").select("node", "comp", "n", F.coalesce("root", "node").alias("root"))
-    parted = whole.groupBy("comp", "root").agg(F.sum("n").alias("volume")).groupBy("comp").agg(F.max(F.struct("volume", "root")).alias("top"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("roots"))
+    parted = whole.groupBy("comp", "root").agg(_volume().alias("volume")).groupBy("comp").agg(F.max(F.struct("volume", "root")).alias("top"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("roots"))
     parted = stage(parted.filter("roots > 1").select("comp", F.col("top.root").alias("top"), (F.col("volume") - F.col("top.volume")).alias("rest")), "join-parted", rows=n)
     if not parted.isEmpty():
         apart = stage(whole.join(parted, "comp").select("node", "comp", "n", "root", (F.col("root") == F.col("top")).alias("main"), "rest"), "join-apart", rows=n, width=48)
