@@ -53,7 +53,7 @@ BLOCK = 1 << 16
 SHARD_IDS = 4_000_000
 CACHE = 700_000
 #: Bytes of texts that are encoded at a time.
-CHARS = 4_000_000
+CHARS = 8_000_000
 #: Words that the library is given in one text.
 TOGETHER = 2000
 #: Marks that are one unit together wherever they follow a word.
@@ -127,7 +127,9 @@ def read_shard(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 def _gather(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``pool`` one after the other."""
     ends = np.cumsum(sizes)
-    return pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(pool)) < 1 << 31 else np.int64
+    return pool[np.arange(total, dtype=kind) + np.repeat((starts - (ends - sizes)).astype(kind), sizes)]
 
 
 class WordEncoder:
@@ -187,7 +189,7 @@ class WordEncoder:
         plain = pc.match_substring_regex(stems, _PLAIN).to_numpy(zero_copy_only=False)
         odd = pc.or_(pc.match_substring(every, "<|"), pc.match_substring(every, _BETWEEN)).to_numpy(zero_copy_only=False)
         starts, sizes = np.zeros((len(words), 2), np.int64), np.zeros((len(words), 2), np.int64)
-        pools, at = [], 0
+        pools, at = [self.flat[: self.ends[-1]]], int(self.ends[-1])
 
         def put(which: np.ndarray, column: int, code: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> None:
             nonlocal at
@@ -198,11 +200,23 @@ class WordEncoder:
 
         if len(which := np.flatnonzero(plain)):
             coded = pc.dictionary_encode(stems.filter(pa.array(plain)))
-            flat = self._together(self.plain, coded.dictionary.to_pylist(), " ")
-            put(which, 0, coded.indices.to_numpy(), flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1))
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            known = np.fromiter((self.place.get(x, -1) for x in names), np.int64, len(names))
+            met = known[code] >= 0  # stems that are words met before
+            begin, end = self.ends[known], self.ends[known + 1]
+            starts[which[met], 0], sizes[which[met], 0] = begin[code[met]], (end - begin)[code[met]]
+            fresh = np.flatnonzero(known < 0)
+            if len(fresh):
+                flat = self._together(self.plain, [names[k] for k in fresh.tolist()], " ")
+                place = np.zeros(len(names), np.int64)
+                place[fresh] = np.arange(len(fresh))
+                put(which[~met], 0, place[code[~met]], flat, np.diff(np.flatnonzero(self.last[flat]), prepend=-1))
             own = pc.utf8_length(stems).to_numpy(zero_copy_only=False)
-            tails = pc.dictionary_encode(pa.array([words[k][n:] for k, n in zip(which.tolist(), own[which].tolist(), strict=True)], pa.string()))
-            put(which, 1, tails.indices.to_numpy(), *self._ids(self.model, tails.dictionary.to_pylist()))
+            whole = pc.utf8_length(every).to_numpy(zero_copy_only=False)
+            ending = which[whole[which] > own[which]]
+            if len(ending):
+                tails = pc.dictionary_encode(pa.array([words[k][n:] for k, n in zip(ending.tolist(), own[ending].tolist(), strict=True)], pa.string()))
+                put(ending, 1, tails.indices.to_numpy(), *self._ids(self.model, tails.dictionary.to_pylist()))
         if len(which := np.flatnonzero(~plain & ~odd)):
             flat = self._together(self.model, [words[k] for k in which.tolist()], f" {_BETWEEN} ")
             cuts = np.flatnonzero(flat == self.between)
@@ -243,10 +257,12 @@ class WordEncoder:
         coded = pc.dictionary_encode(runs.flatten())
         # The model folds case, but not that of special tokens, and composes marks before it does.
         folds = pc.and_(pc.string_is_ascii(coded.dictionary), pc.invert(pc.match_substring(coded.dictionary, "<|")))
-        words = pc.if_else(folds, pc.ascii_lower(coded.dictionary), coded.dictionary).to_pylist()
-        self._learn(list(dict.fromkeys(words)))
-        place = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
-        self.met[place] += 1
+        folded = pc.dictionary_encode(pc.if_else(folds, pc.ascii_lower(coded.dictionary), coded.dictionary))
+        words = folded.dictionary.to_pylist()
+        self._learn(words)
+        own = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        self.met[own] += 1
+        place = own[folded.indices.to_numpy(zero_copy_only=False)]
         starts, sizes = self.ends[place], self.ends[place + 1] - self.ends[place]
         code = coded.indices.to_numpy(zero_copy_only=False)
         # One more, made-up word at each text's end stands for the end id.
